@@ -78,11 +78,11 @@ def slices(batches, text: str = "text", most: int = 4 << 20) -> Iterator[pa.Reco
             at = to
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs of no ASCII white space) and the n + 1 offsets of the texts in them."""
+def word_bounds(data: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes that `space` doesn't name: no ASCII white space) and the n + 1 offsets of the texts in them."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    word = ~_SPACE[data]
+    word = ~space[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[off] = True
     before = np.empty_like(word)

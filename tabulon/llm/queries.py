@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tabulon.llm import toxicity
 from tabulon.llm.chat import conversation_digest, format_conversations
 from tabulon.llm.lz import neighbours
 from tabulon.llm.packing import pack_documents
@@ -31,6 +33,12 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digest(format_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hostile)))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(spark, table(spark, sf_dir, "documents"), public_path(VOCABULARY), end_id=2)
 
@@ -43,11 +51,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_warc": op2_warc,
     "op6_chat": op6_chat,
+    "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
     "op10_lz_fingerprint": op10_lz_fingerprint,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages),
+        d AS (SELECT page_id, url, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex FROM p),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS most FROM d)
+        SELECT page_id, payload_bytes, url, CASE WHEN page_id < most THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id < most THEN most END AS refers_to,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + ((('0x' || substr(hex, (5 * (i // 4) + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest
+        FROM m""",
     "op6_chat": """
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
