@@ -73,7 +73,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
         return above * np.log(up) + below * np.log(down) + equal * np.log(np.maximum(1 - up - down, 1e-12))
 
     lo, hi = np.zeros(len(u)), np.minimum(u / v, v / u)
-    for _ in range(22):
+    for _ in range(14):
         x, y = lo + (hi - lo) * 0.382, lo + (hi - lo) * 0.618
         left = value(x) > value(y)
         lo, hi = np.where(left, lo, x), np.where(left, y, hi)
@@ -132,34 +132,82 @@ def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
             yield b.select(["a", "b", "na", "nb"]).filter(pa.array(estimate(ra, rb, b.column(2).to_numpy(), b.column(3).to_numpy()) >= least))
 
 
-def _across(table: pa.Table, least: float, ratio: float, most: int) -> pa.Table:
-    """Within a pair of blocks of a bucket: pairs of different components that the sketches find likely, the best `most` for each row and other component; cut: whether more were left."""
-    ids, n = table["id"].to_numpy(), table["n"].to_numpy()
-    ids, first = np.unique(ids, return_index=True)
-    n, comp = n[first], table["label"].to_numpy()[first]
-    regs = np.frombuffer(b"".join(table["regs"].to_pylist()), "<u2").reshape(-1, M)[first]
-    names, inv, count = np.unique(comp, return_inverse=True, return_counts=True)
-    ask = np.flatnonzero(inv != count.argmax())
-    out: list[tuple[int, int, int, int, bool]] = []
-    for i in ask.tolist():
-        other = np.flatnonzero((comp != comp[i]) & (np.minimum(n, n[i]) >= ratio * np.maximum(n, n[i])))
-        if not len(other):
-            continue
-        same = (regs[other] == regs[i]).sum(axis=1)
-        other = other[same >= M * (least - 0.1)]
-        if not len(other):
+def _ranks(row: np.ndarray, comp: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """The place of each pair among the pairs of its row and other component, best estimate first."""
+    order = np.lexsort((-e, comp, row))
+    new = np.ones(len(order), bool)
+    new[1:] = (row[order][1:] != row[order][:-1]) | (comp[order][1:] != comp[order][:-1])
+    first = np.flatnonzero(new)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return out
+
+
+def _pairs_of(count: np.ndarray, step: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of each group (sizes `count`, rows in order), about `step` at a time."""
+    i_s, j_s, have, at = [], [], 0, 0
+    for n in count.tolist():
+        for r in range(0, n, 256):
+            i, j = np.triu_indices(min(256, n - r), 1, n - r)
+            i_s.append(i + at + r)
+            j_s.append(j + at + r)
+            have += len(i)
+            if have >= step:
+                yield np.concatenate(i_s), np.concatenate(j_s)
+                i_s, j_s, have = [], [], 0
+        at += n
+    if have:
+        yield np.concatenate(i_s), np.concatenate(j_s)
+
+
+def _across_groups(t: pa.Table, least: float, ratio: float, most: int) -> pa.RecordBatch | None:
+    """Rows (band, x, y, i, id, n, label, regs) of whole groups (band, x, y): likely pairs of different components, from both blocks."""
+    band, x, y, block, ids, n, comp = (t[c].to_numpy() for c in ("band", "x", "y", "i", "id", "n", "label"))
+    regs = np.frombuffer(b"".join(t["regs"].to_pylist()), "<u2").reshape(-1, M)
+    new = np.ones(len(band), bool)
+    new[1:] = (band[1:] != band[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    count = np.diff(np.append(np.flatnonzero(new), len(band)))
+    group = np.cumsum(new)
+    found = []
+    for i, j in _pairs_of(count):
+        keep = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j])) & ((block[i] != block[j]) | (x[i] == y[i]))
+        i, j = i[keep], j[keep]
+        keep = (regs[i] == regs[j]).sum(axis=1) >= M * (least - 0.03)
+        i, j = i[keep], j[keep]
+        if len(i):
+            e = estimate(regs[i], regs[j], n[i], n[j])
+            found.append((i[e >= least], j[e >= least], e[e >= least]))
+    if not found:
+        return None
+    i, j, e = (np.concatenate(c) for c in zip(*found, strict=True))
+    width = np.int64(len(band) + 1)
+    place = np.minimum(_ranks(i, group[i] * width + np.unique(comp, return_inverse=True)[1][j], e), _ranks(j, group[j] * width + np.unique(comp, return_inverse=True)[1][i], e))
+    keep = place < most
+    cut = not keep.all()
+    i, j = i[keep], j[keep]
+    swap = ids[i] > ids[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    return pa.record_batch([pa.array(ids[i]), pa.array(ids[j]), pa.array(n[i]), pa.array(n[j]), pa.array(np.full(len(i), cut))], names=["a", "b", "na", "nb", "cut"])
+
+
+def _across(batches: Iterator[pa.RecordBatch], least: float, ratio: float, most: int) -> Iterator[pa.RecordBatch]:
+    """Cuts sorted batches at the ends of groups."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
             continue
-        e = estimate(regs[other], regs[i][None], n[other], np.full(len(other), n[i]))
-        likely = e >= least
-        other, e = other[likely], e[likely]
-        for c in np.unique(comp[other]):
-            own = np.flatnonzero(comp[other] == c)
-            own = own[np.argsort(-e[own], kind="stable")]
-            for j in other[own[:most]].tolist():
-                x, y = (i, j) if ids[i] < ids[j] else (j, i)
-                out.append((int(ids[x]), int(ids[y]), int(n[x]), int(n[y]), len(own) > most))
-    cols = list(zip(*out, strict=True)) if out else [[]] * 5
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.bool_()), strict=True)], names=["a", "b", "na", "nb", "cut"])
+        key = np.stack([b.column(i).to_numpy() for i in range(3)])
+        last = int(np.flatnonzero((key != key[:, -1:]).any(axis=0))[-1]) + 1 if (key != key[:, -1:]).any() else 0
+        if last or (held and [c[held[-1].num_rows - 1].as_py() for c in held[-1].columns[:3]] != key[:, 0].tolist()):
+            out = _across_groups(pa.Table.from_batches([*held, b.slice(0, last)]), least, ratio, most)
+            held = []
+            if out is not None:
+                yield out
+        held.append(b.slice(last))
+    if held:
+        out = _across_groups(pa.Table.from_batches(held), least, ratio, most)
+        if out is not None:
+            yield out
 
 
 def small_or_joined(left: DataFrame, ids: DataFrame, on: str, how: str, bound: int = 200_000) -> DataFrame:
@@ -219,12 +267,9 @@ def near_groups(docs: DataFrame, k: int, similarity: int = 80, doc_id: str = "do
         mixed = written(named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"), "near-mixed")
         spread = named.join(mixed, "band").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         spread = spread.select("band", "id", "n", "label", "i", F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"))
-        spread = spread.select("band", "id", "n", "label", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y")).join(sketch.select("id", "regs"), "id")
-
-        def across(t: pa.Table) -> pa.Table:  # noqa: B023 (used within this turn of the loop)
-            return _across(t, least, ratio, most)
-
-        found = spread.groupBy("band", "x", "y").applyInArrow(across, "a long, b long, na long, nb long, cut boolean")
+        spread = spread.select("band", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "n", "label").join(sketch.select("id", "regs"), "id")
+        ordered = spread.select("band", "x", "y", "i", "id", "n", "label", "regs").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "id")
+        found = ordered.mapInArrow(partial(_across, least=least, ratio=ratio, most=most), "a long, b long, na long, nb long, cut boolean")
         found = written(found.groupBy("a", "b", "na", "nb").agg(F.max("cut").alias("cut")), "near-found")
         fresh = written(found.join(tested, ["a", "b"], "left_anti"), "near-fresh")
         if not fresh.limit(1).count():

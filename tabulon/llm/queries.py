@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabulon.llm import toxicity
 from tabulon.llm.chat import conversation_digest, format_conversations
 from tabulon.llm.lz import neighbours
+from tabulon.llm.near_dup import near_groups
 from tabulon.llm.packing import pack_documents
 from tabulon.llm.token_files import token_file_digest
 from tabulon.llm.tokens import public_path
@@ -27,6 +28,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), k=4, similarity=80)
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, whose texts hold control strings."""
     hostile = spark.sql("SELECT -7L AS conv_id, id AS turn, IF(id = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2)")
@@ -50,6 +55,7 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_warc": op2_warc,
+    "op5_near_dup": op5_near_dup,
     "op6_chat": op6_chat,
     "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
@@ -66,6 +72,18 @@ ORACLES: dict[str, str] = {
             array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                 1 + ((('0x' || substr(hex, (5 * (i // 4) + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest
         FROM m""",
+    "op5_near_dup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 3, 1) + 1), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w),
+        n AS (SELECT doc_id, len(sh)::BIGINT AS n_shingles FROM s),
+        u AS (SELECT doc_id, unnest(sh) AS x FROM s),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n_shingles + q.n_shingles - k)),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
+        SELECT n.doc_id, n_shingles, c.component_id, n.doc_id = c.component_id AS kept
+        FROM n JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)""",
     "op6_chat": """
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
