@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm import toxicity
 from tabulon.llm.chat import conversation_digest, format_conversations
+from tabulon.llm.decontaminate import leaks
 from tabulon.llm.lz import neighbours
 from tabulon.llm.near_dup import near_groups
 from tabulon.llm.packing import pack_documents
@@ -28,6 +29,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), k=4, similarity=80)
 
@@ -55,6 +60,7 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_warc": op2_warc,
+    "op4_decontaminate": op4_decontaminate,
     "op5_near_dup": op5_near_dup,
     "op6_chat": op6_chat,
     "op7_toxicity": op7_toxicity,
