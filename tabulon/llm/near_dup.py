@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.kernels import binary_rows, distinct, mix, seeds, segment_min, shingles, slices, texts, word_hashes
-from tabulon.session import forget, written
+from tabulon.session import forget, small_batches, written
 
 M, ROWS, BASE, RATE, LIMIT = 128, 4, 1.05, 20.0, 1023
 MARGIN = 0.17
@@ -85,7 +85,7 @@ def _sets(arr: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, most=2 << 20):
+    for b in slices(batches, most=1 << 19):
         sets, off = _sets(texts(b.column(1)), k)
         n = np.diff(off)
         cum = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(np.stack([mix(sets ^ np.uint64(5)), mix(sets ^ np.uint64(11))], axis=1), axis=0, dtype=np.uint64)])
@@ -98,7 +98,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 def _pack_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Sorted hashes of each set, cut to 40 bits (a 32-bit part, then an 8-bit part): chance meetings of two shingles of a pair stay below 1e-4 even for 10,000 shingles each."""
-    for b in slices(batches, most=2 << 20):
+    for b in slices(batches, most=1 << 19):
         sets, off = _sets(texts(b.column(1)), k)
         low, high = (sets >> np.uint64(24)).astype("<u4"), (sets >> np.uint64(56)).astype(np.uint8)
         rows = [low[s:e].tobytes() + high[s:e].tobytes() for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
@@ -233,6 +233,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, k: int, similarity: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; similarity in hundredths."""
+    small_batches(docs.sparkSession)
     least, ratio = similarity / 100 - MARGIN, similarity / 100
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketches = written(rows.mapInArrow(partial(_sketch, k=k), "doc_id long, n long, mark binary, regs binary"), "near-sketches")
