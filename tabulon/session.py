@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
 
@@ -55,8 +54,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+def small_batches(spark: SparkSession, most: str = "4194304b") -> None:
     """Limits the Arrow batches of texts to a few MB each, so that neither the JVM's buffers nor a Python worker hold more than a few texts at a time."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", spark.conf.get(key, "0")) or 0) != most:
-        spark.conf.set(key, str(most))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
