@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from tabulon.llm.kernels import binary_rows, distinct, mix, seeds, segment_min, shingles, slices, texts, word_hashes
 from tabulon.session import forget, small_batches, written
@@ -287,3 +288,15 @@ def near_groups(docs: DataFrame, k: int, similarity: int = 80, doc_id: str = "do
     some = sketches.select("doc_id", "n", "mark").join(named, "mark", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("label", "doc_id"))
     return some.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_first(docs: DataFrame, k: int = 5, similarity: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, without those that another document of their component stands for. Rows that share an id are one document, and the first by text stays."""
+    groups = written(near_groups(docs, k, similarity, doc_id, text).select(F.col("doc_id").alias(doc_id), "kept"), "near-groups")
+    kept = small_or_joined(docs, groups.where("not kept").select(doc_id).distinct(), doc_id, "left_anti")
+    twice = groups.where(f"kept and {doc_id} is not null").groupBy(doc_id).count().where("count > 1").select(doc_id)
+    if not twice.limit(1).count():
+        return kept
+    first = F.row_number().over(W.Window.partitionBy(doc_id).orderBy(text))
+    again = kept.join(twice, doc_id, "left_semi").withColumn("_place", first).where("_place = 1").drop("_place")
+    return kept.join(twice, doc_id, "left_anti").unionByName(again)

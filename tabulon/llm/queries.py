@@ -13,6 +13,7 @@ from tabulon.llm.decontaminate import leaks
 from tabulon.llm.lz import neighbours
 from tabulon.llm.near_dup import near_groups
 from tabulon.llm.packing import pack_documents
+from tabulon.llm.substring import repeats
 from tabulon.llm.token_files import token_file_digest
 from tabulon.llm.tokens import public_path
 from tabulon.llm.warc import warc_round_trip
@@ -29,6 +30,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents"), min_words=51, similarity=0.8)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +65,7 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_warc": op2_warc,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_near_dup": op5_near_dup,
     "op6_chat": op6_chat,
