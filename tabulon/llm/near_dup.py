@@ -2,7 +2,8 @@
 
 A document's set is its distinct k-word shingles. Its sketch has M registers: the least of the set's exponential
 variates for each register, rounded on an exponential scale and truncated, so sketches merge by the larger register and
-equal registers tell of common shingles. Bands of ROWS registers are the candidate keys.
+equal registers tell of common shingles. BANDS bands of ROWS registers each are the candidate keys; the low bytes of all
+M registers serve the estimates.
 
 1. Documents with equal sets are one from here on.
 2. In each bucket of a band every set is compared with the bucket's least id: pairs are as many as rows, whatever a
@@ -13,7 +14,7 @@ equal registers tell of common shingles. Bands of ROWS registers are the candida
    against blocks; the best partners of each row in each other component are verified first (4, then 64, then all that
    are left), and components that meet drop out. No candidate of an undecided component is left unverified.
 
-A link is missed only if no band of two sets agrees, 1e-7 at a similarity of 0.8 (M = 128, ROWS = 4), or if
+A link is missed only if no band of two sets agrees, 1e-7 at a similarity of 0.8 (BANDS = 32, ROWS = 4), or if
 the estimate is off by MARGIN, five standard errors.
 
 Everything grows with rows, never with pairs of a group: buckets and counts are partial aggregates, joins are between
@@ -37,15 +38,15 @@ from pyspark.sql import window as W
 from tabulon.llm.kernels import binary_rows, distinct, mix, seeds, segment_min, shingles, slices, texts, word_hashes
 from tabulon.session import forget, small_batches, written
 
-M, ROWS, BASE, RATE, LIMIT = 128, 4, 1.05, 20.0, 1023
-MARGIN = 0.17
+M, BANDS, ROWS, BASE, RATE = 512, 32, 4, 1.05, 20.0
+MARGIN = 0.085
 BLOCK = 512
 _MUL = seeds(M, 21) | np.uint64(1)
 _LOG = np.log(BASE)
 
 
 def registers(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """SetSketch registers of each set of 64-bit hashes; sets without an element have zeros."""
+    """SetSketch registers of each set of 64-bit hashes, on a scale that puts a set of one element at about 64; sets without an element have zeros."""
     out = np.zeros((len(off) - 1, M), np.uint16)
     full = off[1:] > off[:-1]
     with np.errstate(over="ignore", divide="ignore"):
@@ -55,14 +56,15 @@ def registers(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
             h *= _MUL[i]
             least = segment_min(h, off, 0)
             x = -np.log1p(-(least.astype(np.float64) + 1) / 2.0**64) / RATE
-            k = np.floor(1 - np.log(np.maximum(x, 1e-300)) / _LOG) + LIMIT // 4
-            out[:, i] = np.where(full, np.clip(k, 1, LIMIT), 0)
+            k = np.floor(1 - np.log(np.maximum(x, 1e-300)) / _LOG) + 128
+            out[:, i] = np.where(full, np.clip(k, 1, 1023), 0)
     return out
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """The most likely Jaccard similarity of sets of the known sizes na and nb, from the orders of their registers."""
-    above, below = (a > b).sum(axis=-1), (a < b).sum(axis=-1)
+    """The most likely Jaccard similarity of sets of the known sizes na and nb, from the orders of their registers. Low bytes of registers do: those of sets of like sizes differ by less than 128, so the sign of the byte difference is the order."""
+    d = (a.astype(np.uint8) - b.astype(np.uint8)).view(np.int8)
+    above, below = (d > 0).sum(axis=-1), (d < 0).sum(axis=-1)
     equal = a.shape[-1] - above - below
     u, v = na / (na + nb), nb / (na + nb)
 
@@ -94,7 +96,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             sums = cum[off[1:]] - cum[off[:-1]]
         at = np.arange(len(off))
         regs = registers(sets, off)
-        yield pa.record_batch([b.column(0), pa.array(n), binary_rows(sums.ravel(), at * 2), binary_rows(regs.ravel(), at * M)], names=["doc_id", "n", "mark", "regs"])
+        yield pa.record_batch([b.column(0), pa.array(n), binary_rows(sums.ravel(), at * 2), binary_rows(regs[:, : BANDS * ROWS].ravel(), at * BANDS * ROWS), binary_rows(regs.astype(np.uint8).ravel(), at * M)], names=["doc_id", "n", "mark", "keys", "regs"])
 
 
 def _pack_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -129,7 +131,7 @@ def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
     """Of rows (a, b, na, nb, regs_a, regs_b) the pairs whose estimate reaches `least`."""
     for b in batches:
         if b.num_rows:
-            ra, rb = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, M) for c in b.columns[4:6])
+            ra, rb = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, M) for c in b.columns[4:6])
             yield b.select(["a", "b", "na", "nb"]).filter(pa.array(estimate(ra, rb, b.column(2).to_numpy(), b.column(3).to_numpy()) >= least))
 
 
@@ -164,7 +166,7 @@ def _pairs_of(count: np.ndarray, step: int = 1 << 16) -> Iterator[tuple[np.ndarr
 def _across_groups(t: pa.Table, least: float, ratio: float, most: int) -> pa.RecordBatch | None:
     """Rows (band, x, y, i, id, n, label, regs) of whole groups (band, x, y): likely pairs of different components, from both blocks."""
     band, x, y, block, ids, n, comp = (t[c].to_numpy() for c in ("band", "x", "y", "i", "id", "n", "label"))
-    regs = np.frombuffer(b"".join(t["regs"].to_pylist()), "<u2").reshape(-1, M)
+    regs = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint8).reshape(-1, M)
     new = np.ones(len(band), bool)
     new[1:] = (band[1:] != band[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     count = np.diff(np.append(np.flatnonzero(new), len(band)))
@@ -237,10 +239,10 @@ def near_groups(docs: DataFrame, k: int, similarity: int = 80, doc_id: str = "do
     small_batches(docs.sparkSession)
     least, ratio = similarity / 100 - MARGIN, similarity / 100
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketches = written(rows.mapInArrow(partial(_sketch, k=k), "doc_id long, n long, mark binary, regs binary"), "near-sketches")
-    reps = written(sketches.where("n > 0 and doc_id is not null").groupBy("mark", "n", "regs").agg(F.min("doc_id").alias("id")), "near-sets")
+    sketches = written(rows.mapInArrow(partial(_sketch, k=k), "doc_id long, n long, mark binary, keys binary, regs binary"), "near-sketches")
+    reps = written(sketches.where("n > 0 and doc_id is not null").groupBy("mark", "n", "keys", "regs").agg(F.min("doc_id").alias("id")), "near-sets")
 
-    bands = reps.select("id", "n", F.explode(F.expr(f"transform(sequence(0, {M // ROWS - 1}), i -> xxhash64(i, substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})))")).alias("band"))
+    bands = reps.select("id", "n", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(keys, i * {2 * ROWS} + 1, {2 * ROWS})))")).alias("band"))
     shared = written(bands.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("many")).where("many > 1"), "near-buckets")
     members = written(bands.join(shared, "band"), "near-members")
     sized = lambda p: p.where(f"100 * least(na, nb) >= {similarity} * greatest(na, nb)")
