@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabulon.llm import toxicity
 from tabulon.llm.chat import conversation_digest, format_conversations
 from tabulon.llm.decontaminate import leaks
+from tabulon.llm.html_text import main_text
 from tabulon.llm.lz import neighbours
 from tabulon.llm.near_dup import near_groups
 from tabulon.llm.packing import pack_documents
@@ -58,6 +59,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(spark, table(spark, sf_dir, "documents"), public_path(VOCABULARY), end_id=2)
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat": op6_chat,
     "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
+    "op9_main_text": op9_main_text,
     "op10_lz_fingerprint": op10_lz_fingerprint,
 }
 
@@ -96,6 +102,14 @@ ORACLES: dict[str, str] = {
         reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
         SELECT n.doc_id, n_shingles, c.component_id, n.doc_id = c.component_id AS kept
         FROM n JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)""",
+    # The driver's pages mark their main text as an article of headings and paragraphs; the operator doesn't rely on that.
+    "op9_main_text": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS inner_html FROM pages),
+        b AS (SELECT page_id, url, string_split_regex(regexp_replace(inner_html, '<br>', ' ', 'g'), '</?(p|h1)>') AS parts FROM a),
+        c AS (SELECT page_id, url, list_filter(list_transform(parts, lambda p: trim(regexp_replace(
+            replace(replace(replace(replace(regexp_replace(p, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda p: p <> '') AS blocks FROM b),
+        d AS (SELECT page_id, url, coalesce(array_to_string(blocks, chr(10) || chr(10)), '') AS text FROM c)
+        SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d""",
     "op6_chat": """
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
