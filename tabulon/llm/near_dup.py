@@ -164,8 +164,8 @@ def _pairs_of(count: np.ndarray, step: int = 1 << 16) -> Iterator[tuple[np.ndarr
 
 
 def _across_groups(t: pa.Table, least: float, ratio: float, most: int) -> pa.RecordBatch | None:
-    """Rows (band, x, y, i, id, n, label, regs) of whole groups (band, x, y): likely pairs of different components, from both blocks."""
-    band, x, y, block, ids, n, comp = (t[c].to_numpy() for c in ("band", "x", "y", "i", "id", "n", "label"))
+    """Rows (band, x, y, i, id, n, label, regs, slot) of whole groups (band, x, y): likely pairs of different components, from both blocks, of which this is the first band that both share."""
+    band, x, y, block, ids, n, comp, slot = (t[c].to_numpy() for c in ("band", "x", "y", "i", "id", "n", "label", "slot"))
     regs = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint8).reshape(-1, M)
     new = np.ones(len(band), bool)
     new[1:] = (band[1:] != band[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
@@ -175,7 +175,9 @@ def _across_groups(t: pa.Table, least: float, ratio: float, most: int) -> pa.Rec
     for i, j in _pairs_of(count):
         keep = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j])) & ((block[i] != block[j]) | (x[i] == y[i]))
         i, j = i[keep], j[keep]
-        keep = (regs[i] == regs[j]).sum(axis=1) >= M * (least - 0.03)
+        same = regs[i] == regs[j]
+        first = same[:, : BANDS * ROWS].reshape(len(i), BANDS, ROWS).all(axis=2).argmax(axis=1)
+        keep = (same.sum(axis=1) >= M * (least - 0.03)) & (first == slot[i])
         i, j = i[keep], j[keep]
         if len(i):
             e = estimate(regs[i], regs[j], n[i], n[j])
@@ -242,7 +244,7 @@ def near_groups(docs: DataFrame, k: int, similarity: int = 80, doc_id: str = "do
     sketches = written(rows.mapInArrow(partial(_sketch, k=k), "doc_id long, n long, mark binary, keys binary, regs binary"), "near-sketches")
     reps = written(sketches.where("n > 0 and doc_id is not null").groupBy("mark", "n", "keys", "regs").agg(F.min("doc_id").alias("id")), "near-sets")
 
-    bands = reps.select("id", "n", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(keys, i * {2 * ROWS} + 1, {2 * ROWS})))")).alias("band"))
+    bands = reps.select("id", "n", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(keys, i * {2 * ROWS} + 1, {2 * ROWS})))")).alias("slot", "band"))
     shared = written(bands.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("many")).where("many > 1"), "near-buckets")
     members = written(bands.join(shared, "band"), "near-members")
     sized = lambda p: p.where(f"100 * least(na, nb) >= {similarity} * greatest(na, nb)")
@@ -267,12 +269,12 @@ def near_groups(docs: DataFrame, k: int, similarity: int = 80, doc_id: str = "do
     tested = pairs.select("a", "b")
     for most in (4, 64, 1 << 40):
         labels = components(edges)
-        named = written(members.join(labels, "id", "left").select("band", "id", "n", "many", F.coalesce("label", "id").alias("label")), "near-named")
+        named = written(members.join(labels, "id", "left").select("slot", "band", "id", "n", "many", F.coalesce("label", "id").alias("label")), "near-named")
         mixed = written(named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"), "near-mixed")
         spread = named.join(mixed, "band").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        spread = spread.select("band", "id", "n", "label", "i", F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"))
-        spread = spread.select("band", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "n", "label").join(sketch.select("id", "regs"), "id")
-        ordered = spread.select("band", "x", "y", "i", "id", "n", "label", "regs").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "id")
+        spread = spread.select("slot", "band", "id", "n", "label", "i", F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"))
+        spread = spread.select("slot", "band", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "n", "label").join(sketch.select("id", "regs"), "id")
+        ordered = spread.select("band", "x", "y", "i", "id", "n", "label", "regs", "slot").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "id")
         found = ordered.mapInArrow(partial(_across, least=least, ratio=ratio, most=most), "a long, b long, na long, nb long, cut boolean")
         found = written(found.groupBy("a", "b", "na", "nb").agg(F.max("cut").alias("cut")), "near-found")
         fresh = written(found.join(tested, ["a", "b"], "left_anti"), "near-fresh")
