@@ -3,13 +3,28 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers where their path doesn't hold it, once a context."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context = spark.sparkContext
+    if getattr(context, "_tabulon_shipped", False):
+        return
+    context._tabulon_shipped = True
+    if home in os.environ.get("PYTHONPATH", "").split(":") or os.getcwd() == home:
+        return
+    folder = tempfile.mkdtemp(prefix="tabulon-")
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "tabulon"), "zip", home, "tabulon"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
