@@ -13,6 +13,7 @@ from tabulon.operators import aggregate as A
 from tabulon.operators import join as J
 from tabulon.operators import rank as R
 from tabulon.operators import reshape as S
+from tabulon.operators import robust as B
 from tabulon.operators import select as P
 from tabulon.sources.adapter import SQL, classes, particles, positions, stacks
 from tabulon.sources.text import from_lines, to_lines
@@ -310,6 +311,76 @@ def cube_counts(spark, d):
     return particles(spark, d, False).cube("state", "class").agg(F.count("*").alias("n"))
 
 
+@query("SELECT value FROM (SELECT value, row_number() OVER (ORDER BY value) AS k, count(*) OVER () AS n FROM events) WHERE k = 1 + floor(0.25 * (n - 1))", base=False)
+def percentile_real(spark, d):
+    return B.percentile_at(table(spark, d, "events"), "value", 0.25)
+
+
+@query("SELECT min(dfx) AS dfx FROM (SELECT dfx, sum(corr) OVER (ORDER BY dfx) AS cum, sum(corr) OVER () AS t FROM ptcl) WHERE cum >= 0.5 * t - 1e-12")
+def percentile_weighted_real(spark, d):
+    return B.percentile_weighted(particles(spark, d, False), "dfx", "corr", 0.5)
+
+
+@query("SELECT dfx FROM (SELECT dfx, row_number() OVER (ORDER BY dfx) AS k, count(*) OVER () AS n FROM ptcl WHERE state > 0) WHERE k = round(n * 0.1)")
+def extremal_bound(spark, d):
+    return B.at_place(particles(spark, d, False).where("state > 0"), "dfx", F.round(F.col("n") * 0.1))
+
+
+@query("SELECT round(avg(value), 6) AS avg FROM (SELECT value, row_number() OVER (ORDER BY value) AS k, count(*) OVER () AS n FROM events) WHERE k <= ceil(n * 0.3)", base=False)
+def avg_frac_smallest(spark, d):
+    return B.mean_of_smallest(table(spark, d, "events"), "value", 0.3)
+
+
+@query("""WITH g AS (SELECT value, count(*) FILTER (user_id % 2 = 0) AS a, count(*) FILTER (user_id % 2 = 1) AS b FROM events GROUP BY value),
+    c AS (SELECT sum(a) OVER (ORDER BY value) / sum(a) OVER ()::DOUBLE AS fa, sum(b) OVER (ORDER BY value) / sum(b) OVER ()::DOUBLE AS fb FROM g) SELECT round(max(abs(fa - fb)), 6) AS d FROM c""", base=False)
+def kstwo(spark, d):
+    return B.two_sample_distance(table(spark, d, "events"), "value", F.col("user_id") % 2 == 1)
+
+
+@query("""WITH l AS (SELECT min(value) AS lo, max(value) AS hi FROM events), h AS (SELECT least(255, floor((value - lo) / (hi - lo) * 256))::INT AS b, count(*) AS n FROM events, l GROUP BY 1),
+    c AS (SELECT b, sum(n) OVER w AS n1, sum(n * b) OVER w AS s1, sum(n * b * b) OVER w AS q1, sum(n) OVER () AS n, sum(n * b) OVER () AS s, sum(n * b * b) OVER () AS q FROM h WINDOW w AS (ORDER BY b)),
+    v AS (SELECT b, round((q1 - s1 * s1 / n1::DOUBLE) + CASE WHEN n > n1 THEN (q - q1) - (s - s1) * (s - s1) / (n - n1)::DOUBLE ELSE 0 END, 4) AS v FROM c)
+    SELECT round(lo + (b + 1) * (hi - lo) / 256, 6) AS threshold FROM l, (SELECT b FROM v ORDER BY v, b LIMIT 1)""", base=False)
+def otsu(spark, d):
+    return B.otsu(table(spark, d, "events"), "value")
+
+
+@query("""SELECT class, round(m, 6) AS mean, round(CASE WHEN n > 1 THEN (sxx / sw - m * m) * n / (n - 1) ELSE 0 END, 6) AS var FROM (
+    SELECT class, count(*) AS n, sum(corr) AS sw, sum(corr * dfy * dfy) AS sxx, sum(corr * dfy) / sum(corr) AS m FROM ptcl WHERE corr > 0 GROUP BY class)""")
+def online_var(spark, d):
+    return B.weighted_moments(particles(spark, d, False), "dfy", "corr", "class")
+
+
+@query("SELECT least(30, round((dfx - lo) / ((hi + 1 - lo) / 30)) + 1)::INT AS bin, count(*) AS cnt FROM ptcl, (SELECT min(dfx) AS lo, max(dfx) AS hi FROM ptcl) GROUP BY 1")
+def create_hist_vector(spark, d):
+    return B.nearest_bins(particles(spark, d, False), "dfx", 30)
+
+
+@query(""", c AS (SELECT floor((pind - 1) * 4096 / n) AS cell, n, min(pind) AS lo, max(pind) AS hi, count(*) FILTER (state > 0) AS a FROM ptcl, (SELECT count(*) AS n FROM ptcl) GROUP BY 1, 2),
+    s AS (SELECT *, least(6, floor((sum(a) OVER (ORDER BY cell) - a) / ceil(n / 6.0)) + 1)::INT AS part FROM c) SELECT part, min(lo) AS lo, max(hi) AS hi, sum(a)::BIGINT AS active FROM s GROUP BY part""")
+def gen_balanced_partitions(spark, d):
+    return B.balanced_ranges(particles(spark, d), 6)
+
+
+@query("SELECT state, class, count(*) AS n FROM ptcl GROUP BY state, class HAVING count(*) > 150")
+def projs_exist(spark, d):
+    return particles(spark, d, False).groupBy("state", "class").agg(F.count("*").alias("n")).where("n > 150")
+
+
+@query("SELECT state, round(count(*) FILTER (sampled = (SELECT max(sampled) FROM ptcl)) / count(*)::DOUBLE, 6) AS frac FROM ptcl WHERE state > 0 AND updatecnt > 0 GROUP BY state")
+def get_state_update_fracs(spark, d):
+    return A.update_fractions(particles(spark, d, False), ["state"])
+
+
+@query("SELECT round(1 - 6 * sum((r1 - r2) ** 2) / (max(n)::DOUBLE * (max(n)::DOUBLE * max(n) - 1)), 6) AS r FROM (SELECT row_number() OVER (ORDER BY value, event_id) AS r1, row_number() OVER (ORDER BY user_id, event_id) AS r2, count(*) OVER () AS n FROM events)", base=False)
+def spear(spark, d):
+    """Rank correlation without tie correction; both ranks come from range partitions."""
+    e = positions(table(spark, d, "events").select("event_id", "value", "user_id"), ["value", "event_id"], "r1")
+    e = positions(e, ["user_id", "event_id"], "r2")
+    n = F.count("*").cast("double")
+    return e.agg(F.round(1 - 6 * F.sum((F.col("r1") - F.col("r2")).cast("double") ** 2) / (n * (n * n - 1)), 6).alias("r"))
+
+
 # Rankings
 
 
