@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.llm import toxicity
-from tabulon.llm.decontaminate import leaks
-from tabulon.llm.near_dup import keep_first, small_or_joined
+from tabulon.llm.decontaminate import without_leaks
+from tabulon.llm.near_dup import keep_first
 from tabulon.llm.packing import pack_documents
 from tabulon.llm.queries import VOCABULARY
 from tabulon.llm.substring import repeats, without_repeats
@@ -37,8 +37,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that hold a benchmark item."""
-    found = written(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return small_or_joined(docs, found, "doc_id", "left_anti")
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

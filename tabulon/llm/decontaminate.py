@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.kernels import buffers, slices, span_hashes, texts, word_bounds
 from tabulon.llm.toxicity import _BREAK
+from tabulon.session import small_batches
 
 BLOCKS, POSTINGS, CELL, SHORT = 256, 8, 64, 8
 K1, B = 1.2, 0.75
@@ -242,15 +243,37 @@ def _search(batches: Iterator[pa.RecordBatch], index, overlap: float) -> Iterato
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_items: int = 20_000) -> DataFrame:
-    """A row for each occurrence of a test item in a text: doc_id, item_id, words from and to, score, overlaps."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _indexes(docs: DataFrame, items: DataFrame, threshold: float, item_id: str, item_text: str, most_items: int) -> Iterator:
+    """Broadcast indexes of at most about most_items items each, by a hash of the item."""
     tests = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("text is not null and trim(text) <> ''")
     passes = max(1, -(-tests.count() // most_items))
-    out = None
     for k in range(passes):
         own = sorted(((r.id, r.text) for r in tests.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == k).collect()), key=str)
-        index = docs.sparkSession.sparkContext.broadcast(Index([i for i, _ in own], [t for _, t in own], threshold))
+        yield docs.sparkSession.sparkContext.broadcast(Index([i for i, _ in own], [t for _, t in own], threshold))
+
+
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_items: int = 20_000) -> DataFrame:
+    """A row for each occurrence of a test item in a text: doc_id, item_id, words from and to, score, overlaps."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    out = None
+    for index in _indexes(docs, items, threshold, item_id, item_text, most_items):
         part = rows.mapInArrow(partial(_search, index=index, overlap=overlap), "doc_id long, item_id long, start_word long, end_word long, score double, question_overlap double, answer_overlap double")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def _clean(batches: Iterator[pa.RecordBatch], index, overlap: float, text: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for b in slices([whole], whole.schema.names[text], 2 << 20):
+            keep = np.ones(b.num_rows, bool)
+            keep[[m[0] for m in matches(texts(b.column(text)), index.value, overlap)]] = False
+            yield b.filter(pa.array(keep))
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, text: str = "text", item_id: str = "item_id", item_text: str = "text", most_items: int = 20_000) -> DataFrame:
+    """The rows of docs, with all columns, that hold no test item; decided row by row, so rows without an id and repeated rows too."""
+    small_batches(docs.sparkSession)
+    for index in _indexes(docs, items, threshold, item_id, item_text, most_items):
+        docs = docs.mapInArrow(partial(_clean, index=index, overlap=overlap, text=docs.columns.index(text)), docs.schema)
+    return docs

@@ -47,6 +47,8 @@ def test_leaks_odd(spark):
     assert got == [(0, 1), (1, 1), (1, 1), (2, 1), (3, 1), (8, 4), (8, 4)]
     many = sorted((r.doc_id or 0, r.item_id) for r in decontaminate.leaks(docs, items, most_items=2).collect())
     assert many == got
+    clean = decontaminate.without_leaks(docs, items, most_items=2)
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [4, 5, 6, 7, 9]
     assert decontaminate.leaks(docs.where("false"), items).count() == 0 and decontaminate.leaks(docs, items.where("false")).count() == 0
 
 
