@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.kernels import buffers, seeds, segment_min, slices, span_hashes, texts
-from tabulon.session import shuffle_partitions, written
+from tabulon.session import shuffle_partitions, small_batches, written
 
 PLACES = 64
 _PIECE = re.compile(r"\S{1,6}")
@@ -130,6 +130,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text and its edited copy, and their likeness; see the module's text."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     ranged = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     rows = written(ranged.mapInArrow(_ranges, _DONE + ", part int, kind int, text string"), "lz-ranges")

@@ -30,7 +30,7 @@ from pyspark.sql import window as W
 
 from tabulon.llm.kernels import slices, texts
 from tabulon.llm.tokens import crc32_ids, tokenizer, with_end
-from tabulon.session import shuffle_partitions, written
+from tabulon.session import shuffle_partitions, small_batches, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -52,6 +52,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, end: int, size: int) -> I
 
 def token_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents' ids with the end id, cut into pieces of `size` where longer; start: the document's ids before the piece."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(partial(_cut, path=vocabulary, end=end_id, size=size), PIECES)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tabulon.llm.kernels import slices, texts
 from tabulon.llm.shards import commit, open_file
 from tabulon.llm.tokens import crc32_ids, tokenizer, with_end
-from tabulon.session import scratch, shuffle_partitions, written
+from tabulon.session import scratch, shuffle_partitions, small_batches, written
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -79,6 +79,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, out: str, end: int, seq
 
 def write_token_files(docs: DataFrame, out: str, vocabulary: str, end_id: int, doc_id: str = "doc_id", text: str = "text", seq_len: int = 2048, batch_rows: int = 64, shards: int | None = None) -> DataFrame:
     """Writes the shards and returns their manifest (shard, path, n_docs, n_tokens), itself written beside them."""
+    small_batches(docs.sparkSession)
     n = shards or shuffle_partitions(docs.sparkSession)
     ranged = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return written(ranged.mapInArrow(partial(_write, path=vocabulary, out=out, end=end_id, seq_len=seq_len, rows=batch_rows), MANIFEST), "token-manifest")

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.kernels import buffers, slices, span_hashes, texts, word_bounds
+from tabulon.session import small_batches
 
 _BREAK = np.ones(256, dtype=bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -75,9 +76,17 @@ class Model:
             out.append(y)
         return out, x, begin, begin + rows
 
-    def logits(self, arr: pa.Array) -> np.ndarray:
-        if not len(arr):
-            return np.zeros(0, np.float32)
+    def logits(self, arr: pa.Array, most: int = 1 << 18) -> np.ndarray:
+        """The logit of each text; about `most` bytes of text at a time, as a word takes some 400 bytes here."""
+        cum = buffers(arr)[1][1:]
+        parts, at = [np.zeros(0, np.float32)], 0
+        while at < len(arr):
+            to = max(at + 1, int(np.searchsorted(cum, (cum[at - 1] if at else 0) + most, side="right")))
+            parts.append(self._logits(arr.slice(at, to - at)))
+            at = to
+        return np.concatenate(parts)
+
+    def _logits(self, arr: pa.Array) -> np.ndarray:
         out, _, begin, end = self.responses(*word_features(arr, len(self.embedding)))
         cuts = np.stack([begin, end], axis=1).ravel()
         pooled = np.concatenate([np.maximum.reduceat(y, cuts, axis=0)[::2] for y in out], axis=1)
@@ -222,6 +231,7 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) of every whole text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(partial(_score, model=shared), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
@@ -236,5 +246,6 @@ def _decide(batches: Iterator[pa.RecordBatch], model, text: int, lang: int) -> I
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs, with all their columns, whose score is below their language's threshold."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(partial(_decide, model=shared, text=docs.columns.index(text), lang=docs.columns.index(lang)), docs.schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.shards import commit, open_file
-from tabulon.session import scratch, shuffle_partitions, written
+from tabulon.session import scratch, shuffle_partitions, small_batches, written
 
 MANIFEST = "shard int, file int, path string, n_records long, n_bytes long"
 DATE = "2024-01-01T00:00:00Z"
@@ -111,6 +111,7 @@ def revisits(pages: DataFrame, page_id: str, html: str, least_payload: int) -> D
 
 def write_warc(pages: DataFrame, out: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_payload: int = 0, roll_bytes: int = 256 << 20, shards: int | None = None) -> DataFrame:
     """Writes the archives and returns their manifest (shard, file, path, n_records, n_bytes)."""
+    small_batches(pages.sparkSession)
     n = shards or shuffle_partitions(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.lit(1).alias("kind"), F.col(url).alias("url"), F.col(html).alias("html"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
     marks = revisits(pages, page_id, html, least_payload).select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
