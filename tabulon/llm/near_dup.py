@@ -278,14 +278,12 @@ def near_groups(docs: DataFrame, k: int, similarity: int = 80, doc_id: str = "do
         found = ordered.mapInArrow(partial(_across, least=least, ratio=ratio, most=most), "a long, b long, na long, nb long, cut boolean")
         found = written(found.groupBy("a", "b", "na", "nb").agg(F.max("cut").alias("cut")), "near-found")
         fresh = written(found.join(tested, ["a", "b"], "left_anti"), "near-fresh")
-        if not fresh.limit(1).count():
-            break
-        edges = edges.unionByName(written(verified(fresh.select("a", "b", "na", "nb")), "near-links"))
-        tested = tested.unionByName(fresh.select("a", "b"))
-        if not found.where("cut").limit(1).count():
+        if fresh.limit(1).count():
+            edges = edges.unionByName(written(verified(fresh.select("a", "b", "na", "nb")), "near-links"))
+            tested = tested.unionByName(fresh.select("a", "b"))
             labels = None
+        if not found.where("cut").limit(1).count():
             break
-        labels = None
     labels = components(edges) if labels is None else labels
     named = reps.select("id", "mark", "n").join(labels, "id", "left").select("mark", F.coalesce("label", "id").alias("label"))
     named = written(named, "near-components")
