@@ -9,7 +9,8 @@ items are dealt into `BLOCKS` blocks, a term's bound in a block is its largest i
 count as the most that they make up of one item of the block, and a passage below the threshold in all blocks is done.
 The others run block-max WAND over posting lists with a bound for every `POSTINGS` postings. Items at or above the
 threshold are verified: of question (all but the last sentence or line) and answer (the rest) a share of `overlap` of the
-words at least must occur in order, and a short item (below 8 words) must occur as it is.
+words at least must occur in order, each within 1.6 item lengths at any place of the passage, with other text between them
+or not; each place counts. A short item (below 8 words) must occur as it is.
 
 The index is broadcast; the items of one index are at most `most_items`, more are searched in further passes over the
 texts. Cases: null and empty items match nothing; null and empty texts and texts shorter than an item give no rows unless
@@ -169,26 +170,47 @@ def in_order(part: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best / len(part), end - len(part) if best else -1, end
 
 
-def _verified(index: Index, item: int, passage: np.ndarray, overlap: float) -> tuple[float, float, int, int] | None:
+def _places(part: np.ndarray, passage: np.ndarray, width: int, overlap: float) -> list[tuple[float, int, int]]:
+    """(share, start, end) of all places of the passage, apart from each other, where within `width` words enough of the part's words occur in order."""
+    hit = np.flatnonzero(np.isin(passage, part))
+    near = np.searchsorted(hit, hit + width) - np.arange(len(hit))
+    found = set()
+    for k in np.flatnonzero(near >= overlap * len(part) - 1e-9).tolist():
+        own = hit[k : k + int(near[k])]
+        share, _, end = in_order(part, passage[own])
+        if share >= overlap:
+            _, _, back = in_order(part[::-1], passage[own[:end]][::-1])
+            found.add((share, int(own[end - back]), int(own[end - 1]) + 1))
+    out: list[tuple[float, int, int]] = []
+    for f in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])):
+        if all(f[2] <= o[1] or f[1] >= o[2] for o in out):
+            out.append(f)
+    return out
+
+
+def _verified(index: Index, item: int, passage: np.ndarray, overlap: float) -> list[tuple[float, float, int, int]]:
+    """(question's share, answer's share, start, end) of all places of the item: the question wherever it is, with the answer nearest to it."""
     words = index.words[item]
+    out: list[tuple[float, float, int, int]] = []
     if len(words) < SHORT:
-        for i in np.flatnonzero(passage[: len(passage) - len(words) + 1] == words[0]).tolist() if len(words) else []:
-            if (passage[i : i + len(words)] == words).all():
-                return 1.0, 1.0, i, i + len(words)
-        return None
-    # the place: the window of the item's length (and a fifth) with most of its words
-    own = np.isin(passage, words)
-    width = min(len(passage), len(words) + len(words) // 5)
-    inside = np.concatenate([[0], np.cumsum(own)])
-    at = int((inside[width:] - inside[:-width]).argmax())
-    lo, hi = max(0, at - len(words) // 5), min(len(passage), at + width + len(words) // 5)
-    near = passage[lo:hi]
-    q, _, _ = in_order(index.question[item], near)
-    a, _, _ = in_order(index.answer[item], near)
-    if q < overlap or a < overlap:
-        return None
-    hit = np.flatnonzero(own[lo:hi])
-    return q, a, lo + int(hit[0]), lo + int(hit[-1]) + 1
+        for i in np.flatnonzero(passage[: max(0, len(passage) - len(words) + 1)] == words[0]).tolist() if len(words) else []:
+            if (passage[i : i + len(words)] == words).all() and (not out or i >= out[-1][3]):
+                out.append((1.0, 1.0, i, i + len(words)))
+        return out
+    width = len(words) + 3 * (len(words) // 5)
+    questions, answers = (_places(p[item], passage, width, overlap) if len(p[item]) else None for p in (index.question, index.answer))
+    if questions is None or answers is None:
+        many = [(f[0], 1.0, f[1], f[2]) if answers is None else (1.0, f[0], f[1], f[2]) for f in questions or answers or []]
+    else:
+        many = []
+        for share, s, e in questions:
+            if answers:
+                other = min(answers, key=lambda f: (max(f[1] - e, s - f[2], 0), f[1] < s))
+                many.append((share, other[0], min(s, other[1]), max(e, other[2])))
+    for f in sorted(many, key=lambda f: (f[3] - f[2], f[2])):
+        if all(f[3] <= o[2] or f[2] >= o[3] for o in out):
+            out.append(f)
+    return out
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
@@ -216,22 +238,19 @@ def matches(arr: pa.Array, index: Index, overlap: float) -> list[tuple[int, int,
     last = np.append(text[1:] != text[:-1], True)
     both = bound[:-1] + np.where(last[:, None], 0, bound[1:])
     chosen = np.flatnonzero((both + index.rest >= index.threshold - 1e-5).any(axis=1))
-    found: dict[tuple[int, int, int], tuple] = {}
+    found: dict[tuple[int, int], list[tuple]] = {}
     for c in chosen.tolist():
         t = int(text[c])
         s, e = int(at[c]), int(min(woff[t + 1], at[c] + 2 * index.cell))
         own = np.unique(term[s:e])
         for item, score in index.search(own[own < len(index.terms)]):
-            v = _verified(index, item, h[s:e], overlap)
-            if v:
+            for v in _verified(index, item, h[s:e], overlap):
                 start, end = s + v[2] - int(woff[t]), s + v[3] - int(woff[t])
-                key = (t, item, start // max(1, len(index.words[item])))
-                for k in (key, (t, item, key[2] - 1), (t, item, key[2] + 1)):
-                    if k in found and min(end, found[k][3]) > max(start, found[k][2]):
-                        key = k
-                if key not in found or found[key][4] < score:
-                    found[key] = (t, item, start, end, score, v[0], v[1])
-    return sorted(found.values())
+                have = found.setdefault((t, item), [])
+                same = [f for f in have if min(end, f[3]) > max(start, f[2])]
+                if all((v[0] + v[1], score) > (f[5] + f[6], f[4]) for f in same):
+                    have[:] = [f for f in have if f not in same] + [(t, item, start, end, score, v[0], v[1])]
+    return sorted(f for many in found.values() for f in many)
 
 
 def _search(batches: Iterator[pa.RecordBatch], index, overlap: float) -> Iterator[pa.RecordBatch]:

@@ -52,6 +52,20 @@ def test_leaks_odd(spark):
     assert decontaminate.leaks(docs.where("false"), items).count() == 0 and decontaminate.leaks(docs, items.where("false")).count() == 0
 
 
+def test_leaks_at_every_place():
+    item = "What is the tallest tower of the old town near the river bank where traders met each spring? It is the grey clock tower."
+    question, answer = decontaminate.split_item(item)
+    index = decontaminate.Index([1], [item], 0.6)
+    filler = lambda n: " ".join(f"f{i}" for i in range(n))
+    w = item.split()
+    shuffled = " ".join(w[::-1] + w[::2][::-1])
+    rows = [f"{shuffled} {filler(20)} {item} {filler(20)}", f"{question} {filler(50)} {answer}", f"{item} {filler(9)} {item} {filler(60)} {item}", shuffled, question, f"{answer} {filler(90)}"]
+    got = [[m[2:4] for m in decontaminate.matches(texts(pa.array([r])), index, 0.8)] for r in rows]
+    n, q = len(w), len(question.split())
+    start = len(shuffled.split()) + 20
+    assert got == [[(start, start + n)], [(0, n + 50)], [(0, n), (n + 9, 2 * n + 9), (2 * n + 69, 3 * n + 69)], [], [], []] and q < n
+
+
 def shingle_set(text, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
