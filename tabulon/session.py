@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,16 +31,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and the master is local (tests, benches)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tabulon-shared")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+DEFAULT_BATCH = "67108864b"  # Spark's own limit of an Arrow batch
+_made: list[str] = []  # folders under the shared one that haven't been deleted
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes at its end all scratch folders made within it, but those of the written frames that are put on the list."""
+    before, kept = set(_made), []
+    yield kept
+    stay = {getattr(df, "_tabulon_path", None) for df in kept}
+    for path in [p for p in _made if p not in before and p not in stay]:
+        delete(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -60,6 +80,8 @@ def forget(*frames: DataFrame) -> None:
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    if path in _made:
+        _made.remove(path)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -70,5 +92,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, most: str = "4194304b") -> None:
-    """Limits the Arrow batches of texts to a few MB each, so that neither the JVM's buffers nor a Python worker hold more than a few texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+    """Limits the session's Arrow batches to a few MB each, where no limit is set yet, so that neither the JVM's buffers nor a Python worker hold more than a few texts at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == DEFAULT_BATCH:
+        spark.conf.set(key, most)
