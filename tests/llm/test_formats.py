@@ -5,6 +5,7 @@ import hashlib
 import math
 import zlib
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
@@ -58,7 +59,7 @@ def check_packing(docs, out):
 def test_packing(spark):
     docs = table(spark, SF, "documents")
     got = check_packing(docs, packing.pack_documents(docs, VOCABULARY))
-    assert got.sequence_id.nunique() <= math.ceil(got.length.sum() / 4096) + 1
+    assert got.sequence_id.nunique() == math.ceil(got.length.sum() / 4096)
 
 
 def test_packing_odd(spark):
@@ -69,7 +70,7 @@ def test_packing_odd(spark):
 @settings(max_examples=30, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 300), min_size=1, max_size=20))
 def test_packing_plan_places_every_length_once(histogram):
-    runs, n = packing.packing_plan(histogram, 64)
+    runs, n, bound = packing.packing_plan(histogram, 64)
     loads = {}
     for length, first, count, seq, k, _ in runs.tolist():
         for i in range(count):
@@ -78,8 +79,38 @@ def test_packing_plan_places_every_length_once(histogram):
     for length, count in histogram.items():
         spans = sorted((f, f + c) for m, f, c, *_ in runs.tolist() if m == length)
         assert [0, *(b for _, b in spans)] == [*(a for a, _ in spans), count]
-    # first fit decreasing never opens more than 11/9 of the least number and one
-    assert n <= 11 / 9 * math.ceil(sum(a * b for a, b in histogram.items()) / 64) + max(histogram.values()) * (max(histogram) > 21) + 1
+    assert bound <= n + 1e-6 and n <= 1.25 * bound + 2
+
+
+def fewest(lengths, size):
+    """The least number of sequences, by trying all sets of pieces."""
+    n = len(lengths)
+    whole = [sum(x for i, x in enumerate(lengths) if m >> i & 1) <= size for m in range(1 << n)]
+    least = [0] + [n] * ((1 << n) - 1)
+    for m in range(1, 1 << n):
+        s = m
+        while s:
+            if whole[s]:
+                least[m] = min(least[m], least[m & ~s] + 1)
+            s = s - 1 & m
+    return least[-1]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=8))
+def test_packing_plan_against_all_packings(lengths):
+    _, n, bound = packing.packing_plan({x: lengths.count(x) for x in lengths}, 40)
+    least = fewest(lengths, 40)
+    assert math.ceil(bound - 1e-6) <= least <= n <= least + 1
+
+
+def test_packing_program_by_known_optima():
+    assert packing.packing_plan({10: 100_000}, 4096)[1] == 245  # 409 a sequence
+    assert packing.packing_plan({2100: 1000, 1500: 600, 1000: 900}, 4096)[1:] == (1125, pytest.approx(1125, abs=0.1))
+    assert packing.packing_plan({4096: 7, 4095: 3, 1: 3}, 4096)[1] == 10
+    rng = np.random.default_rng(1)
+    many = {int(x): int(rng.integers(1, 50)) for x in rng.integers(1, 1500, 400)}
+    assert packing.packing_plan(many, 4096)[1] == math.ceil(sum(a * b for a, b in many.items()) / 4096)
 
 
 @pytest.mark.parametrize("odd", [False, True])
