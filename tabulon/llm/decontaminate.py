@@ -12,10 +12,14 @@ threshold are verified: of question (all but the last sentence or line) and answ
 words at least must occur in order, each within 1.6 item lengths at any place of the passage, with other text between them
 or not; each place counts. A short item (below 8 words) must occur as it is.
 
-The index is broadcast; the items of one index are at most `most_items`, more are searched in further passes over the
-texts. Cases: null and empty items match nothing; null and empty texts and texts shorter than an item give no rows unless
-they hold the item; very long texts are searched whole; repeated rows of texts or items give rows each (items with one
-id, too); an empty table on either side gives no rows; columns other than those named are not read.
+The index is broadcast; its items have at most `most_bytes` of text together (its size is a few times that: postings and
+block bounds are kept for the terms that an item has), more are searched in further passes over the texts. Document
+frequencies, the number of items, their mean length and the longest one are those of all items in every pass, so a
+score doesn't depend on the passes. Cases: null and empty items match nothing; null and empty texts and texts shorter
+than an item give no rows unless they hold the item; very long texts are searched whole; repeated rows of texts or items
+give rows each (items with one id, too; equal items are indexed once and counted); an empty table on either side gives no
+rows; of places that overlap the one with the larger overlaps counts, of ties the first; columns other than those named
+are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.kernels import buffers, slices, span_hashes, texts, word_bounds
 from tabulon.llm.toxicity import _BREAK
-from tabulon.session import small_batches
+from tabulon.session import forget, small_batches, written
 
 BLOCKS, POSTINGS, CELL, SHORT = 256, 8, 64, 8
 K1, B = 1.2, 0.75
@@ -55,32 +59,44 @@ def split_item(text: str) -> tuple[str, str]:
 
 
 class Index:
-    """BM25 impacts of the items, posting lists with block maxima, and the bounds of item blocks."""
+    """BM25 impacts of the items, posting lists with block maxima, and the bounds of item blocks.
 
-    def __init__(self, ids: list[int], items: list[str], threshold: float):
+    times: how often each item occurs in its table; overall: (items, mean length, longest, {term: document frequency}) of
+    all items where these are a part of them."""
+
+    def __init__(self, ids: list[int], items: list[str], threshold: float, times: list[int] | None = None, overall: tuple[int, float, int, dict[int, int]] | None = None):
         self.ids, self.threshold = ids, threshold
+        self.times = np.array(times or [1] * len(ids), np.int64)
         parts = [split_item(t) for t in items]
         self.question = self._parts([p[0] for p in parts])
         self.answer = self._parts([p[1] for p in parts])
         self.words = [np.concatenate(x) for x in zip(self.question, self.answer, strict=True)]
         n = np.array([len(w) for w in self.words], np.int64)
-        self.cell = int(max([CELL, *n.tolist()]))
+        many, mean, longest, frequency = overall or (int(self.times.sum()), float((n * self.times).sum() / max(1, self.times.sum())), max(n.tolist(), default=0), None)
+        self.cell = max(CELL, longest)
         item = np.repeat(np.arange(len(n)), n)
         flat = np.concatenate([*self.words, np.zeros(0, np.uint64)])
         self.terms, t = np.unique(flat, return_inverse=True)
         pairs, tf = np.unique(t.astype(np.int64) * max(1, len(n)) + item, return_counts=True)
         term, doc = pairs // max(1, len(n)), pairs % max(1, len(n))
         df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((len(n) - df + 0.5) / (df + 0.5))
-        w = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[doc] / max(1.0, n.mean() if len(n) else 1.0)))
+        if frequency is None:
+            holding = np.bincount(term, self.times[doc], minlength=len(self.terms))
+        else:
+            holding = np.array([frequency[int(t)] for t in self.terms.view(np.int64)], float)
+        idf = np.log1p((many - holding + 0.5) / (holding + 0.5))
+        w = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[doc] / max(1.0, mean)))
         w /= np.bincount(doc, w, minlength=len(n))[doc]
         self.doc, self.impact = doc.astype(np.int32), w.astype(np.float32)
         self.at = np.concatenate([[0], np.cumsum(df)])
         self.most = np.maximum.reduceat(self.impact, self.at[:-1]) if len(self.terms) else np.zeros(0, np.float32)
-        blocks = max(1, min(BLOCKS, len(n)))
-        block = doc * blocks // max(1, len(n))
-        self.bound = np.zeros((len(self.terms) + 1, blocks), np.float32)  # the last row: words of no item
-        np.maximum.at(self.bound, (term, block), self.impact)
+        self.blocks = max(1, min(BLOCKS, len(n)))
+        # a term's bounds: its blocks in order, each with the largest impact there
+        cells, inverse = np.unique(term * self.blocks + doc * self.blocks // max(1, len(n)), return_inverse=True)
+        self.bound_block = (cells % self.blocks).astype(np.int32)
+        self.bound = np.zeros(len(cells), np.float32)
+        np.maximum.at(self.bound, inverse, self.impact)
+        self.bound_at = np.searchsorted(cells // self.blocks, np.arange(len(self.terms) + 1))
         # Frequent terms, as many as leave less than a third of the threshold to any item, count together.
         held = np.zeros(len(n))
         self.rare = np.ones(len(self.terms) + 1, bool)
@@ -91,8 +107,8 @@ class Index:
                 break
             held[d] += self.impact[self.at[k] : self.at[k + 1]]
             self.rare[k] = False
-        self.rest = np.zeros(blocks, np.float32)
-        np.maximum.at(self.rest, np.arange(len(n)) * blocks // max(1, len(n)), held)
+        self.rest = np.zeros(self.blocks, np.float32)
+        np.maximum.at(self.rest, np.arange(len(n)) * self.blocks // max(1, len(n)), held)
 
     @staticmethod
     def _parts(many: list[str]) -> list[np.ndarray]:
@@ -230,11 +246,13 @@ def matches(arr: pa.Array, index: Index, overlap: float) -> list[tuple[int, int,
     hit = np.flatnonzero(index.rare[term])
     v = len(index.terms) + 1
     pairs = np.unique((np.searchsorted(at, hit, side="right") - 1) * v + term[hit])  # each term of a cell once
-    cut = np.searchsorted(pairs, np.arange(len(text) + 1) * v)
-    bound = np.zeros((len(text) + 1, index.bound.shape[1]), np.float32)
-    rows = np.flatnonzero(cut[1:] > cut[:-1])
-    if len(rows):
-        bound[rows] = np.add.reduceat(index.bound[pairs % v], cut[rows], axis=0)
+    bound = np.zeros((len(text) + 1) * index.blocks, np.float32)
+    for some in np.array_split(pairs, 1 + len(pairs) // (1 << 18)):
+        t = some % v
+        many = index.bound_at[t + 1] - index.bound_at[t]
+        entry = np.arange(many.sum()) + np.repeat(index.bound_at[t] - np.cumsum(many) + many, many)
+        bound += np.bincount(np.repeat(some // v * index.blocks, many) + index.bound_block[entry], index.bound[entry], len(bound)).astype(np.float32)
+    bound = bound.reshape(-1, index.blocks)
     last = np.append(text[1:] != text[:-1], True)
     both = bound[:-1] + np.where(last[:, None], 0, bound[1:])
     chosen = np.flatnonzero((both + index.rest >= index.threshold - 1e-5).any(axis=1))
@@ -258,25 +276,46 @@ def _search(batches: Iterator[pa.RecordBatch], index, overlap: float) -> Iterato
         rows = matches(texts(b.column(1)), index.value, overlap)
         if rows:
             ids = b.column(0).to_pylist()
-            columns = list(zip(*((ids[t], index.value.ids[i], *rest) for t, i, *rest in rows), strict=True))
+            columns = list(zip(*((ids[t], index.value.ids[i], *rest) for t, i, *rest in rows for _ in range(int(index.value.times[i]))), strict=True))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
 
-def _indexes(docs: DataFrame, items: DataFrame, threshold: float, item_id: str, item_text: str, most_items: int) -> Iterator:
-    """Broadcast indexes of at most about most_items items each, by a hash of the item."""
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, times, text): (part, times, words, distinct terms)."""
+    for b in slices(batches):
+        h, off = words_of(texts(b.column(2)))
+        terms = [np.unique(h[x:y]).view(np.int64) for x, y in zip(off[:-1], off[1:], strict=True)]
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(np.diff(off)), pa.array(terms, pa.list_(pa.int64()))], names=["part", "times", "words", "terms"])
+
+
+def _indexes(docs: DataFrame, items: DataFrame, threshold: float, item_id: str, item_text: str, most_bytes: int) -> Iterator:
+    """Broadcast indexes of the items with at most about most_bytes of text each, dealt by a hash of the item."""
     tests = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("text is not null and trim(text) <> ''")
-    passes = max(1, -(-tests.count() // most_items))
+    tests = written(tests.groupBy("id", "text").agg(F.count("*").alias("times")), "leak-items")
+    passes = max(1, -(-int(tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most_bytes))
+    dealt = tests.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(passes)).cast("int"))
+    overall = None
+    if passes > 1:
+        terms = written(dealt.select("part", "times", "text").mapInArrow(_item_terms, "part int, times long, words long, terms array<long>"), "leak-terms")
+        many, words, longest = terms.agg(F.sum("times"), F.sum(F.col("times") * F.col("words")), F.max("words")).first()
+        each = terms.select("part", "times", F.explode("terms").alias("term"))
+        frequency = written(each.groupBy("term").agg(F.sum("times").alias("df")), "leak-frequencies")
+        own_terms = written(each.select("part", "term").distinct().join(frequency, "term"), "leak-own-frequencies")
+        forget(terms, frequency)
     for k in range(passes):
-        own = sorted(((r.id, r.text) for r in tests.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == k).collect()), key=str)
-        yield docs.sparkSession.sparkContext.broadcast(Index([i for i, _ in own], [t for _, t in own], threshold))
+        own = sorted(((r.id, r.text, r.times) for r in dealt.where(F.col("part") == k).select("id", "text", "times").collect()), key=str)
+        if passes > 1:
+            overall = (many, words / many, longest, {r.term: r.df for r in own_terms.where(F.col("part") == k).select("term", "df").collect()})
+        yield docs.sparkSession.sparkContext.broadcast(Index([i for i, *_ in own], [t for _, t, _ in own], threshold, [n for *_, n in own], overall))
+    forget(tests, *([own_terms] if passes > 1 else []))
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_items: int = 20_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_bytes: int = 4 << 20) -> DataFrame:
     """A row for each occurrence of a test item in a text: doc_id, item_id, words from and to, score, overlaps."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
-    for index in _indexes(docs, items, threshold, item_id, item_text, most_items):
+    for index in _indexes(docs, items, threshold, item_id, item_text, most_bytes):
         part = rows.mapInArrow(partial(_search, index=index, overlap=overlap), "doc_id long, item_id long, start_word long, end_word long, score double, question_overlap double, answer_overlap double")
         out = part if out is None else out.unionByName(part)
     return out
@@ -290,9 +329,9 @@ def _clean(batches: Iterator[pa.RecordBatch], index, overlap: float, text: int)
             yield b.filter(pa.array(keep))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, text: str = "text", item_id: str = "item_id", item_text: str = "text", most_items: int = 20_000) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, text: str = "text", item_id: str = "item_id", item_text: str = "text", most_bytes: int = 4 << 20) -> DataFrame:
     """The rows of docs, with all columns, that hold no test item; decided row by row, so rows without an id and repeated rows too."""
     small_batches(docs.sparkSession)
-    for index in _indexes(docs, items, threshold, item_id, item_text, most_items):
+    for index in _indexes(docs, items, threshold, item_id, item_text, most_bytes):
         docs = docs.mapInArrow(partial(_clean, index=index, overlap=overlap, text=docs.columns.index(text)), docs.schema)
     return docs

@@ -45,9 +45,9 @@ def test_leaks_odd(spark):
     items = spark.createDataFrame([(1, item, 0), (2, None, 0), (3, "", 0), (4, "short answer", 0), (4, "short answer", 0)], "item_id long, text string, doc_id int")
     got = sorted((r.doc_id or 0, r.item_id) for r in decontaminate.leaks(docs, items).collect())
     assert got == [(0, 1), (1, 1), (1, 1), (2, 1), (3, 1), (8, 4), (8, 4)]
-    many = sorted((r.doc_id or 0, r.item_id) for r in decontaminate.leaks(docs, items, most_items=2).collect())
+    many = sorted((r.doc_id or 0, r.item_id) for r in decontaminate.leaks(docs, items, most_bytes=60).collect())
     assert many == got
-    clean = decontaminate.without_leaks(docs, items, most_items=2)
+    clean = decontaminate.without_leaks(docs, items, most_bytes=60)
     assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [4, 5, 6, 7, 9]
     assert decontaminate.leaks(docs.where("false"), items).count() == 0 and decontaminate.leaks(docs, items.where("false")).count() == 0
 
@@ -66,6 +66,38 @@ def test_leaks_at_every_place():
     assert got == [[(start, start + n)], [(0, n + 50)], [(0, n), (n + 9, 2 * n + 9), (2 * n + 69, 3 * n + 69)], [], [], []] and q < n
 
 
+def test_edited_items_are_found(spark):
+    """Every benchmark item with a word in twelve replaced, put in or left out, in the midst of other text."""
+    rng = np.random.default_rng(4)
+    items = [(r.item_id, r.text) for r in table(spark, SF_MID, "benchmark").collect()]
+    filler = lambda n: " ".join(f"f{i}" for i in rng.integers(0, 10**6, n))
+    rows = []
+    for item, text in items:
+        w = text.split(" ")
+        for at in rng.choice(len(w), max(1, len(w) // 12), replace=False).tolist():
+            w[at] = ["", f"{w[at]} new{at}", f"other{at}"][int(rng.integers(0, 3))]
+        rows.append((item, f"{filler(90)} {' '.join(w)} {filler(70)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, table(spark, SF_MID, "benchmark")).collect()}
+    hit = sum((i, i) in found for i, _ in items)
+    assert hit >= 0.9 * len(items), (hit, len(items))
+
+
+def test_index_grows_with_its_postings():
+    rng = np.random.default_rng(2)
+    items = [" ".join(f"w{i}" for i in rng.zipf(1.3, 60) % 10**6) for _ in range(5000)]
+    index = decontaminate.Index(list(range(5000)), items, 0.6)
+    size = sum(a.nbytes for a in vars(index).values() if isinstance(a, np.ndarray)) + sum(w.nbytes for many in (index.words, index.question, index.answer) for w in many)
+    assert size < 10 * sum(map(len, items))
+
+
+def test_scores_do_not_depend_on_passes(spark):
+    items = table(spark, SF, "benchmark")
+    docs = table(spark, SF, "documents")
+    one, many = ({(r.doc_id, r.item_id, r.start_word, r.end_word, round(r.score, 5)) for r in decontaminate.leaks(docs, items, most_bytes=n).collect()} for n in (4 << 20, 2000))
+    assert one and one == many
+
+
 def shingle_set(text, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
