@@ -12,14 +12,16 @@ markup, class names, order and nesting vary; real pages are never used for it.
 
 A block is the text of a block element between its block children: character references decoded, runs of white space
 turned into one space, trimmed; blocks are joined by two line feeds in page order. Cases: null and empty html, and pages
-without main text, give an empty text; html without tags is one block, and kept; very long pages are read whole; repeated
-rows are rows of their own; an empty table gives no rows; columns other than those named are not read.
+without main text, give an empty text; html without tags is one block, and kept; very long pages are read whole, in time
+that grows with their length; text of formulas, drawings and embedded objects is text of their block; of an unclosed tag,
+comment or script the rest of the page is part, as in browsers; repeated rows (ties of ids) are rows of their own; an empty table gives no rows; columns other than those named are not read.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from random import Random
@@ -34,8 +36,8 @@ from tabulon.session import small_batches
 
 # Elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe select".split())
+INLINE = frozenset("a abbr acronym annotation audio b bdi bdo big br canvas cite code data del desc dfn em font g i img ins kbd label mark math mfenced mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover nobr object picture q rp rt ruby s samp semantics small span strike strong sub sup svg text time tspan tt u use var video wbr".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 PEERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 LISTS = frozenset("ul ol dl table div section article main aside nav header footer form body html".split())
@@ -44,10 +46,12 @@ KIND_OF = {**{f"h{i}": "h" for i in range(1, 7)}, "ul": "list", "ol": "list", "d
 GOOD = frozenset("article content post entry story main body text page blog news prose markdown artikel inhalt contenu contenido articulo".split())
 BAD = frozenset("ad ads adv advert advertisement advertising anzeige publicidad publicite banner sponsor sponsored promo promoted promotion nav navigation navbar menu menubar breadcrumb breadcrumbs sidebar side rail widget footer foot bottom header head masthead top topbar cookie cookies consent gdpr notice alert message popup modal overlay banner comment comments reply replies discussion respond disqus share sharing social related recommended recommendations more subscribe newsletter signup login form search pagination pager tags tag legal copyright credits toolbar kommentare commentaires comentarios".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)", re.S)
+# A tag's attributes are read as a browser does: a quote opens a value only after an equals sign, and one that nothing closes is a plain character.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
 class Node:
@@ -72,6 +76,8 @@ def parse(page: str) -> tuple[list[Node], list[str]]:
     stack: list[tuple[str, Node]] = [("html", root)]  # open elements; inline ones share their block's node
     held: list[str] = []
     at, depth_a = 0, 0
+    opened: dict[str, int] = {"html": 1}  # open elements by tag
+    endless: set[str] = set()  # raw elements whose end doesn't come any more
 
     def flush() -> None:
         if held:
@@ -85,7 +91,9 @@ def parse(page: str) -> tuple[list[Node], list[str]]:
         nonlocal depth_a
         if any(t not in INLINE for t, _ in stack[k:]):
             flush()
-        depth_a -= sum(t == "a" for t, _ in stack[k:])
+        for t, _ in stack[k:]:
+            opened[t] -= 1
+        depth_a = opened.get("a", 0)
         del stack[k:]
 
     def add(text: str) -> None:
@@ -107,9 +115,11 @@ def parse(page: str) -> tuple[list[Node], list[str]]:
         at = m.end()
         if not m[2]:
             if m[0].startswith("<![CDATA["):
-                add(m[0][9:-3])
+                add(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
+        if m[1] and not opened.get(tag):
+            continue
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
@@ -119,7 +129,9 @@ def parse(page: str) -> tuple[list[Node], list[str]]:
                     break
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = None if tag in endless else _END[tag].search(page, at)
+            if end is None:
+                endless.add(tag)
             if not m[0].endswith("/>"):
                 at = end.end() if end else len(page) if tag in ("script", "style", "textarea", "title") else at
             continue
@@ -157,9 +169,10 @@ def parse(page: str) -> tuple[list[Node], list[str]]:
         else:
             n = stack[-1][1]
             n.tags += 1
-            depth_a += tag == "a"
-        if not m[0].endswith("/>") or tag in INLINE:
+        if not m[0].endswith("/>") or tag in INLINE and tag not in ("g", "mspace", "text", "tspan", "use"):
             stack.append((tag, n))
+            opened[tag] = opened.get(tag, 0) + 1
+            depth_a = opened.get("a", 0)
     flush()
     return nodes, blocks
 
@@ -182,6 +195,11 @@ def features(nodes: list[Node], blocks: list[str]) -> np.ndarray:
     whole = max(1, sums[0][0])
     k0 = len(KINDS)
     good_above, bad_above, depth = [0] * len(nodes), [0] * len(nodes), [0] * len(nodes)
+    place, alike = [0] * len(nodes), [1] * len(nodes)  # among its siblings, and siblings of its tag
+    for n in nodes:
+        tags = Counter(c.tag for c in n.children)
+        for at, c in enumerate(n.children):
+            place[c.index], alike[c.index] = at, tags[c.tag]
     for i, n in enumerate(nodes):
         r = out[i]
         kind = KIND_OF.get(n.tag)
@@ -193,9 +211,7 @@ def features(nodes: list[Node], blocks: list[str]) -> np.ndarray:
             j = n.parent.index
             r[k0 : 2 * k0] = np.maximum(out[j, k0 : 2 * k0], out[j, :k0])
             good_above[i], bad_above[i], depth[i] = good_above[j] + good, bad_above[j] + bad, depth[j] + 1
-            peers = n.parent.children
-            same = [x for x in peers if x.tag == n.tag]
-            siblings = (len(peers), len(same), peers.index(n) if len(peers) < 200 else 200)
+            siblings = (len(n.parent.children), alike[i], place[i])
             near = sums[j]
         else:
             good_above[i], bad_above[i], siblings, near = good, bad, (1, 1, 0), sums[0]

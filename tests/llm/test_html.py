@@ -62,3 +62,32 @@ def test_driver_pages(spark):
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [re.sub(r"\s+", " ", html_text.references.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " ")))).strip() for x in re.split(r"</?(?:p|h1)>", inner)]
         assert r.text == "\n\n".join(b for b in blocks if b)
+
+
+def one(body):
+    return html_text.extract_many([f"<html><body><nav><a href=1>One</a> <a href=2>Two</a></nav><article>{body}</article></body></html>"], html_text.trained())[0]
+
+
+def test_no_text_is_lost():
+    first, second, third = ("The first paragraph has words enough to be one.", "The second one isn't short either, and goes on.", "The third paragraph ends the story at last.")
+    for open_ in ("<p title=it's>", "<p data-x='a\"b' title=\"it's > that\">", "<p it's a=b\"c>", '<p class="x">'):
+        assert one(f"<p>{first}{open_}{second}<p>{third}") == f"{first}\n\n{second}\n\n{third}"
+    assert one(f"<p>{first}</p><p>{second} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> <object data=a>shown</object> <svg><text>drawn</text></svg> <canvas>too</canvas></p>") == f"{first}\n\n{second} x=2 shown drawn too"
+    assert html_text.extract_many(["<![CDATA[hello world", "<![CDATA[hello world]]>"], html_text.trained()) == ["hello world"] * 2
+
+
+def test_long_pages_have_the_same_rules():
+    """Thousands of paragraphs in one parent, all kept, and time in proportion; hostile markup isn't quadratic either."""
+    from time import process_time
+
+    took = []
+    for n in (5000, 20_000):
+        many = [f"Paragraph {i} says a few words, and a few more, then ends." for i in range(n)]
+        t = process_time()
+        assert one("".join(f"<p>{m}</p>" for m in many)) == "\n\n".join(many)
+        took.append(process_time() - t)
+    assert took[1] < 8 * took[0]
+    for bad in ('<a b="', "<a ", "<select><option>", "<div></b>", "<!-- "):
+        t = process_time()
+        html_text.extract_many([bad * 20_000 + "'"], html_text.trained())
+        assert process_time() - t < 20, bad
