@@ -1,23 +1,22 @@
 """Document fingerprints from Lempel-Ziv phrases.
 
-A text's words, cut into pieces of up to six characters, are parsed into phrases as LZ78 does: the longest phrase seen
-before and one piece more make a new phrase. The set of phrases is hashed and summarised by 64 minimum hashes of 16
-bits, the fingerprint; the share of equal places estimates the overlap of two dictionaries, which is large where one
+A text is parsed into phrases as LZ78 does, character by character, white space included: the longest phrase seen before
+and one character more make a new phrase; what is left at the end is a known phrase or nothing. The set of phrases is
+hashed and summarised by 64 minimum hashes of 16 bits, the fingerprint; the share of equal places estimates the overlap of two dictionaries, which is large where one
 text would compress well with the other's dictionary.
 
 `neighbours` compares each text with an edited copy (its last half replaced by the head of the next text) and with the
-next text by id. Texts are range-sorted once; each task sees its range in order, and only the last text of a range and
+next text by id; a text and its edited copy are parsed together as far as they are the same. Texts are range-sorted once; each task sees its range in order, and only the last text of a range and
 the first of the next meet afterwards, in a join of as many rows as there are ranges.
 
 Cases: null and empty texts have no phrase and one fingerprint, alike to each other (likeness 1) and to nothing else
-(0); very long texts are parsed whole; repeated rows follow each other; null ids sort first; one row alone is its own
+(0); very long texts are parsed whole; repeated rows follow each other, rows of one id by their text; null ids sort first; one row alone is its own
 next text; an empty table gives no rows; columns other than the two named are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,33 +28,44 @@ from tabulon.llm.kernels import buffers, seeds, segment_min, slices, span_hashes
 from tabulon.session import shuffle_partitions, small_batches, written
 
 PLACES = 64
-_PIECE = re.compile(r"\S{1,6}")
 _A = (seeds(PLACES, 3) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (seeds(PLACES, 4) >> np.uint64(32)).astype(np.uint32)
 
 
-def phrases(text: str) -> set[str]:
-    """The LZ78 phrases of the text's pieces; pieces of a phrase are joined by spaces."""
-    found: set[str] = set()
-    add, w = found.add, ""
-    for t in _PIECE.findall(text):
-        w += t
-        if w in found:
-            w += " "
-        else:
+def _parse(text: str, found: set[str], held: str) -> str:
+    """Adds the phrases of the text, which follows the unfinished phrase `held`; gives the one unfinished at its end."""
+    add, w = found.add, held
+    for c in text:
+        w += c
+        if w not in found:
             add(w)
             w = ""
-    if w:
-        add(w)
+    return w
+
+
+def phrases(text: str) -> set[str]:
+    """The LZ78 phrases of the text."""
+    found: set[str] = set()
+    _parse(text, found, "")
     return found
 
 
-def signatures(many: list[str]) -> np.ndarray:
-    """A row of PLACES minimum hashes (16 bits) for each text; texts without a phrase have zeros, others none."""
+def both_phrases(text: str, kept: int, tail: str) -> tuple[set[str], set[str]]:
+    """The phrases of the text, and of its first `kept` characters followed by `tail`."""
+    own: set[str] = set()
+    held = _parse(text[:kept], own, "")
+    other = set(own)
+    _parse(tail, other, held)
+    _parse(text[kept:], own, held)
+    return own, other
+
+
+def signatures(many: list[set[str]]) -> np.ndarray:
+    """A row of PLACES minimum hashes (16 bits) for each set of phrases; empty sets have zeros, others none."""
     flat: list[str] = []
     off = [0]
-    for t in many:
-        flat += phrases(t)
+    for found in many:
+        flat += found
         off.append(len(flat))
     data, at = buffers(pa.array(flat, pa.large_string()))
     h = (span_hashes(data, at[:-1], at[1:], lower=False) >> np.uint64(32)).astype(np.uint32)
@@ -86,8 +96,10 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_s
 
 def _rows(ids: list, many: list[str], following: str) -> pa.RecordBatch:
     """The finished rows of texts that follow each other, the last of them followed by `following`."""
-    changed = [edited(a, b) for a, b in zip(many, [*many[1:], following], strict=True)]
-    own, other = signatures([*many, following]), signatures(changed)
+    nexts = [*many[1:], following]
+    changed = [edited(a, b) for a, b in zip(many, nexts, strict=True)]
+    pairs = [both_phrases(t, len(t) - len(t) // 2, e[len(t) - len(t) // 2 :]) for t, e in zip(many, changed, strict=True)]
+    own, other = signatures([p for p, _ in pairs] + [phrases(following)]), signatures([q for _, q in pairs])
     n = len(many)
     hexes = lambda s: [x.tobytes().hex() for x in s.astype(">u2")]
     return pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(t) for t in many], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]), pa.array(hexes(own[:n])), pa.array(hexes(other)), pa.array(likeness(own[:n], other)), pa.array(likeness(own[:n], own[1:]))], schema=_SCHEMA)
