@@ -13,14 +13,19 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def commit(uri: str, write: Callable) -> None:
-    """Calls write with an open stream of a temporary file, then renames it to the uri. A task that runs twice leaves one whole file."""
+    """Calls write with an open stream of a temporary file, then renames it to the uri. A task that runs twice leaves one whole file; a write that fails leaves none."""
     system, path = filesystem(uri)
     folder, _, name = path.rpartition("/")
     system.create_dir(folder, recursive=True)
     part = f"{folder}/_temporary-{name}-{uuid.uuid4().hex}"
-    with system.open_output_stream(part) as out:
-        write(out)
-    system.move(part, path)
+    try:
+        with system.open_output_stream(part) as out:
+            write(out)
+        system.move(part, path)
+    except BaseException:
+        if system.get_file_info(part).type == fs.FileType.File:
+            system.delete_file(part)
+        raise
 
 
 def open_file(uri: str):

@@ -129,16 +129,43 @@ def test_token_files(spark, odd):
 
 def test_token_file_random_access(spark):
     docs = table(spark, SF, "documents").limit(40)
-    m = token_files.write_token_files(docs, scratch(spark, "t"), VOCABULARY, 2, seq_len=128, batch_rows=3, shards=1).collect()
+    m = token_files.write_token_files(docs, scratch(spark, "t"), VOCABULARY, 2, seq_len=128, batch_rows=3, tasks=1).collect()
     f = token_files.TokenFile(m[0].path)
-    flat = f.tokens()
-    assert len(flat) == m[0].n_tokens and len(f) == -(-len(flat) // 128)
+    flat = np.concatenate([*f.tokens()])
+    assert len(m) == 1 and len(flat) == m[0].n_tokens and len(f) == -(-len(flat) // 128)
     for i in (0, 4, len(f) - 1):
         ids, mask = f[i]
         assert ids[: int(mask.sum())].tolist() == flat[i * 128 : (i + 1) * 128].tolist()
     assert token_files.token_file_digest(spark, docs.where("false"), VOCABULARY).count() == 0
 
 
+def test_token_files_of_several_tasks(spark):
+    docs = table(spark, SF, "documents")
+    m = token_files.write_token_files(docs, scratch(spark, "t"), VOCABULARY, 2, seq_len=64, batch_rows=2, tasks=3, shard_tokens=1000)
+    rows = m.collect()
+    assert len({r.task for r in rows}) == 3 and len({r.path for r in rows}) == len(rows) >= 3
+    want = {tuple(r) for r in token_files.token_file_digest(spark, docs, VOCABULARY).collect()}
+    assert {tuple(r) for r in token_files.read_token_files(spark, m).collect()} == want
+
+
+def test_token_files_roll(tmp_path, monkeypatch):
+    import pyspark
+
+    many = [f"text {i} " * (i % 40) for i in range(300)] + ["long " * 3000]
+    given = [pa.record_batch([pa.array(range(k, min(k + 7, 301)), pa.int64()), pa.array(many[k : k + 7])], names=["doc_id", "text"]) for k in range(0, 301, 7)]
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})()))
+    rows = [r for b in token_files._write(iter(given), VOCABULARY, str(tmp_path), 2, 16, 2, 500) for r in b.to_pylist()]
+    assert len(rows) > 10 and sum(r["n_docs"] for r in rows) == 301
+    ids = [plain_ids(t) + [2] for t in many]
+    at = 0
+    for r in rows:
+        index = token_files.read_index(r["path"])
+        end = (index["start"].to_numpy() + index["n_tokens"].to_numpy()).tolist()
+        assert end[-1] == r["n_tokens"] and r["n_tokens"] - len(ids[at + len(end) - 1]) < 500 + 7 * 130
+        assert token_files.document_crcs(r["path"], np.array(end)).tolist() == [crc(x) for x in ids[at : at + len(end)]]
+        at += len(end)
+
+
 def test_warc(spark):
     rows = [(5, "u", "x"), (7, None, "x"), (7, "u", "y"), (1, "a\r\nb", None), (2, "u", ""), (9, "u", "é" * 3000), (9, "u", "é" * 3000), (None, "u", "x"), (3, "u", "lone")]
     pages = spark.createDataFrame([(*r, "extra", 1) for r in rows], "page_id long, url string, html string, digest string, kind int")
