@@ -3,25 +3,30 @@
 A document's set is its distinct k-word shingles. Its sketch has M registers: the least of the set's exponential
 variates for each register, rounded on an exponential scale and truncated, so sketches merge by the larger register and
 equal registers tell of common shingles. BANDS bands of ROWS registers each are the candidate keys; the low bytes of all
-M registers serve the estimates.
+M registers serve keys and estimates.
 
 1. Documents with equal sets are one from here on.
 2. In each bucket of a band every set is compared with the bucket's least id: pairs are as many as rows, whatever a
    bucket's size. A pair goes on if sizes allow the similarity and the joint likelihood of both sketches puts its estimate
-   above the similarity less MARGIN; then the full sets decide.
+   above the similarity less MARGIN; then the full sets (64-bit hashes) decide.
 3. Links make components (least-label propagation with pointer jumping). Buckets that hold several components are
-   searched further: their rows, dealt into blocks of at most BLOCK, are compared by sketches across components, blocks
-   against blocks; the best partners of each row in each other component are verified first (4, then 64, then all that
-   are left), and components that meet drop out. No candidate of an undecided component is left unverified.
-
-A link is missed only if no band of two sets agrees, 1e-7 at a similarity of 0.8 (BANDS = 32, ROWS = 4), or if
-the estimate is off by MARGIN, five standard errors.
-
-Everything grows with rows, never with pairs of a group: buckets and counts are partial aggregates, joins are between
-written tables, so that skewed keys are split; full sets are built only for candidates. Cases: texts without words have
-an empty set, linked with nothing; shorter texts than k words are one shingle; repeated rows count as equal documents;
-rows without an id get a size but no component (null) and are kept; an empty table gives no rows; columns other than the
-two named are not read.
+   searched further: rows outside the bucket's largest component are compared with each other and with its rows, in
+   blocks of about BLOCK rows, and the largest component's rows not among themselves. The best partners of each row in each
+   other component are verified first (4, then 64, then all that are left), and components that meet drop out. No candidate
+   of an undecided component is left unverified.
+
+A link is missed only if no band of two sets agrees, 3e-8 at a similarity of 0.8 (BANDS = 44, ROWS = 5), or if
+the estimate is off by MARGIN, five standard errors. Two different shingles count as one if their 64-bit hashes agree.
+
+Rows of each step: BANDS for a set, fewer stars, one full set for each set in a shared bucket; in step 3 a bucket with r
+rows outside its largest component copies each row r / BLOCK times at most (the others n / BLOCK times), so a step grows
+with rows unless buckets are large and mixed throughout. Buckets and counts are partial aggregates; a key with more than SPREAD rows (a
+pivot, a hub) is dealt by a salt, and only its partner's one row is copied; full sets are built only for candidates.
+
+Cases: texts without words have an empty set, linked with nothing; shorter texts than k words are one shingle; very long
+texts are read whole; repeated rows count as equal documents; rows that share an id are one document, linked by each of
+their texts (ties don't arise: the least id stands for a component); rows without an id get a size but no component
+(null) and are kept; an empty table gives no rows; columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -33,14 +38,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from tabulon.llm.kernels import binary_rows, distinct, mix, seeds, segment_min, shingles, slices, texts, word_hashes
 from tabulon.session import forget, small_batches, written
 
-M, BANDS, ROWS, BASE, RATE = 512, 32, 4, 1.05, 20.0
+M, BANDS, ROWS, BASE, RATE = 512, 44, 5, 1.05, 20.0
 MARGIN = 0.085
-BLOCK = 512
+BLOCK, SPREAD, SALTS = 512, 64, 64
 _MUL = seeds(M, 21) | np.uint64(1)
 _LOG = np.log(BASE)
 
@@ -87,40 +91,34 @@ def _sets(arr: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return distinct(*shingles(*word_hashes(arr), k))
 
 
+def _marks(sets: np.ndarray, off: np.ndarray) -> pa.Array:
+    """128 bits that tell sets apart: two sums of mixed hashes."""
+    cum = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(np.stack([mix(sets ^ np.uint64(5)), mix(sets ^ np.uint64(11))], axis=1), axis=0, dtype=np.uint64)])
+    with np.errstate(over="ignore"):
+        return binary_rows((cum[off[1:]] - cum[off[:-1]]).ravel(), np.arange(len(off)) * 2)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, most=1 << 19):
         sets, off = _sets(texts(b.column(1)), k)
-        n = np.diff(off)
-        cum = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(np.stack([mix(sets ^ np.uint64(5)), mix(sets ^ np.uint64(11))], axis=1), axis=0, dtype=np.uint64)])
-        with np.errstate(over="ignore"):
-            sums = cum[off[1:]] - cum[off[:-1]]
-        at = np.arange(len(off))
-        regs = registers(sets, off)
-        yield pa.record_batch([b.column(0), pa.array(n), binary_rows(sums.ravel(), at * 2), binary_rows(regs[:, : BANDS * ROWS].ravel(), at * BANDS * ROWS), binary_rows(regs.astype(np.uint8).ravel(), at * M)], names=["doc_id", "n", "mark", "keys", "regs"])
+        yield pa.record_batch([b.column(0), pa.array(np.diff(off)), _marks(sets, off), binary_rows(registers(sets, off).astype(np.uint8).ravel(), np.arange(len(off)) * M)], names=["doc_id", "n", "mark", "regs"])
 
 
-def _pack_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Sorted hashes of each set, cut to 40 bits (a 32-bit part, then an 8-bit part): chance meetings of two shingles of a pair stay below 1e-4 even for 10,000 shingles each."""
+def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The sorted 64-bit hashes of each set."""
     for b in slices(batches, most=1 << 19):
         sets, off = _sets(texts(b.column(1)), k)
-        low, high = (sets >> np.uint64(24)).astype("<u4"), (sets >> np.uint64(56)).astype(np.uint8)
-        rows = [low[s:e].tobytes() + high[s:e].tobytes() for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        yield pa.record_batch([b.column(0), pa.array(rows, pa.binary())], names=["id", "set"])
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    n = len(data) // 5
-    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
+        yield pa.record_batch([_marks(sets, off), binary_rows(sets, off)], names=["mark", "set"])
 
 
 def common(a: bytes, b: bytes) -> int:
-    x = np.concatenate([_unpack(a), _unpack(b)])
+    x = np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
     x.sort()
     return int((x[1:] == x[:-1]).sum())
 
 
 def _verify(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, na, nb, set_a, set_b) those whose sets reach the similarity (in hundredths)."""
+    """Of rows (a, b, na, nb, set_a, set_b) the links (a, b): those whose sets reach the similarity (in hundredths)."""
     for b in batches:
         na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
         both = np.fromiter((common(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)), np.int64, b.num_rows)
@@ -128,11 +126,11 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.R
 
 
 def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, na, nb, regs_a, regs_b) the pairs whose estimate reaches `least`."""
+    """Of rows (a, b, na, nb, sa, sb, regs_a, regs_b) the pairs whose estimate reaches `least`."""
     for b in batches:
         if b.num_rows:
-            ra, rb = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, M) for c in b.columns[4:6])
-            yield b.select(["a", "b", "na", "nb"]).filter(pa.array(estimate(ra, rb, b.column(2).to_numpy(), b.column(3).to_numpy()) >= least))
+            ra, rb = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, M) for c in b.columns[6:8])
+            yield b.select(["a", "b", "na", "nb", "sa", "sb"]).filter(pa.array(estimate(ra, rb, b.column(2).to_numpy(), b.column(3).to_numpy()) >= least))
 
 
 def _ranks(row: np.ndarray, comp: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -163,9 +161,13 @@ def _pairs_of(count: np.ndarray, step: int = 1 << 16) -> Iterator[tuple[np.ndarr
         yield np.concatenate(i_s), np.concatenate(j_s)
 
 
+_PAIR = ("a", "b", "na", "nb", "sa", "sb")
+PAIR = "a long, b long, na long, nb long, sa long, sb long"
+
+
 def _across_groups(t: pa.Table, least: float, ratio: float, most: int) -> pa.RecordBatch | None:
-    """Rows (band, x, y, i, id, n, label, regs, slot) of whole groups (band, x, y): likely pairs of different components, from both blocks, of which this is the first band that both share."""
-    band, x, y, block, ids, n, comp, slot = (t[c].to_numpy() for c in ("band", "x", "y", "i", "id", "n", "label", "slot"))
+    """Rows (band, x, y, i, id, s, n, label, regs, slot) of whole groups (band, x, y): likely pairs of different components, from both blocks, of which this is the first band that both share."""
+    band, x, y, block, ids, sets, n, comp, slot = (t[c].to_numpy() for c in ("band", "x", "y", "i", "id", "s", "n", "label", "slot"))
     regs = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint8).reshape(-1, M)
     new = np.ones(len(band), bool)
     new[1:] = (band[1:] != band[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
@@ -192,7 +194,7 @@ def _across_groups(t: pa.Table, least: float, ratio: float, most: int) -> pa.Rec
     i, j = i[keep], j[keep]
     swap = ids[i] > ids[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
-    return pa.record_batch([pa.array(ids[i]), pa.array(ids[j]), pa.array(n[i]), pa.array(n[j]), pa.array(np.full(len(i), cut))], names=["a", "b", "na", "nb", "cut"])
+    return pa.record_batch([*(pa.array(c) for c in (ids[i], ids[j], n[i], n[j], sets[i], sets[j], np.full(len(i), cut)))], names=[*_PAIR, "cut"])
 
 
 def _across(batches: Iterator[pa.RecordBatch], least: float, ratio: float, most: int) -> Iterator[pa.RecordBatch]:
@@ -220,20 +222,54 @@ def small_or_joined(left: DataFrame, ids: DataFrame, on: str, how: str, bound: i
     return left.join(F.broadcast(ids) if ids.count() <= bound else ids, on, how)
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFrame:
+    """left joined with right's one row for each key. A key with more than SPREAD rows of left is dealt into parts of about that many by a hash of `by`, and right's row is copied for each part: no task gets all rows of a key, and copies are fewer than left's rows / SPREAD."""
+    hot = written(left.groupBy(on).agg(F.count("*").alias("_many")).where(f"_many > {SPREAD}").select(on, F.ceil(F.col("_many") / SPREAD).cast("int").alias("_parts")), "near-hot")
+    n = hot.count()
+    if not n:
+        forget(hot)
+        return left.join(right, on)
+    few = F.broadcast(hot) if n <= 200_000 else hot
+    dealt = left.join(few, on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    copied = right.join(few, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [on, "_part"]).drop("_part")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, label) of all ids in edges (a, b): label is the least id of the component. Least labels of neighbours, then labels of labels, until nothing changes."""
-    both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a")), "near-edges")
+    """(id, label) of all ids in edges (a, b): label is the least id of the component. Least labels of neighbours, then labels of labels, until nothing changes.
+
+    Joins go by (key, salt): a hub's label is first copied to the salts that ask for it, SALTS at most, so neither a hub nor the least id of a large component is one task's key."""
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a")).distinct()
+    both = written(both.select("u", "v", salt("u")), "near-edges")
+    asked = written(both.select("v", "salt").distinct(), "near-asked")
     labels = written(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("v")).select("id", F.least("id", "v").alias("label")), "near-labels")
     while True:
-        near = both.join(labels, both.v == labels.id).groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
-        step = written(labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label")), "near-step")
-        jump = step.select(F.col("id").alias("label"), F.col("label").alias("to"))
-        new = written(step.join(jump, "label").select("id", "was", F.col("to").alias("label")), "near-labels")
+        told = asked.join(labels.withColumnRenamed("id", "v"), "v")
+        near = both.join(told, ["v", "salt"]).groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
+        step = written(labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"), salt("id")), "near-step")
+        jump = step.select("label", "salt").distinct().join(step.select(F.col("id").alias("label"), F.col("label").alias("to")), "label")
+        new = written(step.join(jump, ["label", "salt"]).select("id", "was", F.col("to").alias("label")), "near-labels")
         changed = new.where("was <> label").limit(1).count()
         forget(labels, step)
-        labels = new
+        labels = new.select("id", "label")
+        labels._tabulon_path = new._tabulon_path
         if not changed:
-            return labels.select("id", "label")
+            forget(both, asked)
+            return labels
+
+
+def _mixed_blocks(named: DataFrame, regs: DataFrame) -> DataFrame:
+    """Rows (band, x, y, i, id, s, n, label, regs, slot) of the buckets with several components, by pairs of blocks (x, y) and sorted: those outside the largest component against all."""
+    size = written(named.groupBy("band", "label").agg(F.count("*").alias("k")), "near-sizes")
+    mixed = size.groupBy("band").agg(F.max_by("label", "k").alias("big"), F.max("k").alias("most"), F.sum("k").alias("all")).where("most < all")
+    mixed = written(mixed.select("band", "big", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("most") / BLOCK).cast("int").alias("many")), "near-mixed")
+    own = F.col("label") == F.col("big")
+    h = F.xxhash64("id", "s")
+    rows = named.join(mixed, "band").withColumn("i", F.when(own, F.col("few") + F.pmod(h, F.col("many"))).otherwise(F.pmod(h, F.col("few"))).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(own, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))))
+    rows = rows.select("band", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "s", "n", "label", "slot").join(regs, "s")
+    return rows.select("band", "x", "y", "i", "id", "s", "n", "label", "regs", "slot").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "id", "s")
 
 
 def near_groups(docs: DataFrame, k: int, similarity: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,64 +277,65 @@ def near_groups(docs: DataFrame, k: int, similarity: int = 80, doc_id: str = "do
     small_batches(docs.sparkSession)
     least, ratio = similarity / 100 - MARGIN, similarity / 100
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketches = written(rows.mapInArrow(partial(_sketch, k=k), "doc_id long, n long, mark binary, keys binary, regs binary"), "near-sketches")
-    reps = written(sketches.where("n > 0 and doc_id is not null").groupBy("mark", "n", "keys", "regs").agg(F.min("doc_id").alias("id")), "near-sets")
+    sketches = written(rows.mapInArrow(partial(_sketch, k=k), "doc_id long, n long, mark binary, regs binary").select("doc_id", "n", F.xxhash64("mark", "n").alias("s"), "regs"), "near-sketches")
+    reps = written(sketches.where("n > 0 and doc_id is not null").groupBy("s", "n", "regs").agg(F.min("doc_id").alias("id")), "near-sets")
 
-    bands = reps.select("id", "n", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(keys, i * {2 * ROWS} + 1, {2 * ROWS})))")).alias("slot", "band"))
-    shared = written(bands.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("many")).where("many > 1"), "near-buckets")
+    bands = reps.select("id", "s", "n", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {ROWS} + 1, {ROWS})))")).alias("slot", "band"))
+    shared = written(bands.groupBy("band").agg(F.min("id").alias("pivot"), F.min_by("s", "id").alias("pivot_s"), F.count("*").alias("many")).where("many > 1").drop("many"), "near-buckets")
     members = written(bands.join(shared, "band"), "near-members")
-    sized = lambda p: p.where(f"100 * least(na, nb) >= {similarity} * greatest(na, nb)")
-    sketch = reps.select("id", "n", "regs")
+    regs = reps.select("s", "regs")
 
     def end(which: str) -> DataFrame:
-        return reps.select(F.col("id").alias(which), F.col("n").alias("n" + which), F.col("regs").alias("regs_" + which))
+        return reps.select(F.col("s").alias("s" + which), F.col("n").alias("n" + which), F.col("regs").alias("regs_" + which))
 
-    star = members.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    likely = sized(star.join(end("b"), "b").join(end("a"), "a")).select("a", "b", "na", "nb", "regs_a", "regs_b")
-    pairs = written(likely.mapInArrow(partial(_likely, least=least), "a long, b long, na long, nb long"), "near-pairs")
+    star = written(members.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b"), F.col("pivot_s").alias("sa"), F.col("s").alias("sb")).distinct(), "near-stars")
+    ends = spread_join(star.join(end("b"), "sb"), end("a"), "sa", "sb").where(f"100 * least(na, nb) >= {similarity} * greatest(na, nb)")
+    pairs = written(ends.select(*_PAIR, "regs_a", "regs_b").mapInArrow(partial(_likely, least=least), PAIR), "near-pairs")
 
     # Full sets of every set that a bucket shares and that may yet be compared.
-    ids = written(members.select("id").distinct().withColumnRenamed("id", "doc_id"), "near-ids")
-    full = written(small_or_joined(rows, ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(partial(_pack_sets, k=k), "id long, set binary"), "near-full").dropDuplicates(["id"])
+    ids = written(members.select(F.col("id").alias("doc_id")).distinct(), "near-ids")
+    sets = small_or_joined(rows, ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(partial(_full_sets, k=k), "mark binary, set binary")
+    full = written(sets.select(F.xxhash64("mark", (F.octet_length("set") / 8).cast("long")).alias("s"), "set").dropDuplicates(["s"]), "near-full")
 
     def verified(p: DataFrame) -> DataFrame:
-        a, b = full.select(F.col("id").alias("a"), F.col("set").alias("set_a")), full.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-        return p.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "set_a", "set_b").mapInArrow(partial(_verify, similarity=similarity), "a long, b long")
-
-    edges = written(verified(pairs), "near-links")
-    tested = pairs.select("a", "b")
+        a, b = (full.select(F.col("s").alias("s" + c), F.col("set").alias("set_" + c)) for c in "ab")
+        both = spread_join(spread_join(p, b, "sb", "sa"), a, "sa", "sb")
+        return written(both.select("a", "b", "na", "nb", "set_a", "set_b").mapInArrow(partial(_verify, similarity=similarity), "a long, b long"), "near-links")
+
+    made = [verified(pairs)]
+    twice = sketches.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("doc_id")
+    again = written(sketches.select("doc_id", "s").distinct().join(twice, "doc_id").join(reps.select("s", "id"), "s").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b"), "near-again")
+    made.append(again)
+    edges, tested, old = made[0].unionByName(again), pairs.select("sa", "sb"), []
     for most in (4, 64, 1 << 40):
         labels = components(edges)
-        named = written(members.join(labels, "id", "left").select("slot", "band", "id", "n", "many", F.coalesce("label", "id").alias("label")), "near-named")
-        mixed = written(named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"), "near-mixed")
-        spread = named.join(mixed, "band").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        spread = spread.select("slot", "band", "id", "n", "label", "i", F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"))
-        spread = spread.select("slot", "band", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "n", "label").join(sketch.select("id", "regs"), "id")
-        ordered = spread.select("band", "x", "y", "i", "id", "n", "label", "regs", "slot").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "id")
-        found = ordered.mapInArrow(partial(_across, least=least, ratio=ratio, most=most), "a long, b long, na long, nb long, cut boolean")
-        found = written(found.groupBy("a", "b", "na", "nb").agg(F.max("cut").alias("cut")), "near-found")
-        fresh = written(found.join(tested, ["a", "b"], "left_anti"), "near-fresh")
+        named = written(members.join(labels, "id", "left").select("slot", "band", "id", "s", "n", F.coalesce("label", "id").alias("label")), "near-named")
+        found = _mixed_blocks(named, regs).mapInArrow(partial(_across, least=least, ratio=ratio, most=most), PAIR + ", cut boolean")
+        found = written(found.groupBy(*_PAIR).agg(F.max("cut").alias("cut")), "near-found")
+        fresh = written(found.join(tested, ["sa", "sb"], "left_anti").drop("cut"), "near-fresh")
+        old += [named, found, fresh]
         if fresh.limit(1).count():
-            edges = edges.unionByName(written(verified(fresh.select("a", "b", "na", "nb")), "near-links"))
-            tested = tested.unionByName(fresh.select("a", "b"))
+            made.append(verified(fresh))
+            edges, tested = edges.unionByName(made[-1]), tested.unionByName(fresh.select("sa", "sb"))
+            forget(labels)
             labels = None
         if not found.where("cut").limit(1).count():
             break
     labels = components(edges) if labels is None else labels
-    named = reps.select("id", "mark", "n").join(labels, "id", "left").select("mark", F.coalesce("label", "id").alias("label"))
-    named = written(named, "near-components")
-    some = sketches.select("doc_id", "n", "mark").join(named, "mark", "left")
+    named = written(reps.join(labels, "id", "left").select("s", F.coalesce("label", "id").alias("label")), "near-components")
+    forget(labels, shared, members, star, pairs, ids, full, reps, *made, *old)
+    some = sketches.select("doc_id", "n", "s").join(named, "s", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("label", "doc_id"))
     return some.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(docs: DataFrame, k: int = 5, similarity: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, without those that another document of their component stands for. Rows that share an id are one document, and the first by text stays."""
+    """The rows of docs, with all columns, without those that another document of their component stands for. Rows that share an id are one document, and the first by text stays (of equal texts, the first by a hash of the row). Any other columns may be there."""
     groups = written(near_groups(docs, k, similarity, doc_id, text).select(F.col("doc_id").alias(doc_id), "kept"), "near-groups")
     kept = small_or_joined(docs, groups.where("not kept").select(doc_id).distinct(), doc_id, "left_anti")
-    twice = groups.where(f"kept and {doc_id} is not null").groupBy(doc_id).count().where("count > 1").select(doc_id)
+    twice = groups.where(F.col("kept") & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.count("*").alias("many")).where("many > 1").select(doc_id)
     if not twice.limit(1).count():
         return kept
-    first = F.row_number().over(W.Window.partitionBy(doc_id).orderBy(text))
-    again = kept.join(twice, doc_id, "left_semi").withColumn("_place", first).where("_place = 1").drop("_place")
-    return kept.join(twice, doc_id, "left_anti").unionByName(again)
+    first = F.min_by(F.struct(*(F.col(c) for c in docs.columns)), F.struct(F.col(text), F.xxhash64(*docs.columns)))
+    again = kept.join(twice, doc_id, "left_semi").groupBy(doc_id).agg(first.alias("row")).select("row.*")
+    return kept.join(twice, doc_id, "left_anti").select(*docs.columns).unionByName(again)

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tabulon.llm import decontaminate, near_dup
 from tabulon.llm.kernels import distinct, shingles, texts, word_hashes
@@ -116,6 +117,10 @@ def brute_groups(rows, k, similarity):
         both = len(sets[i] & sets[j])
         if both and rows[i][0] is not None and rows[j][0] is not None and 100 * both >= similarity * (len(sets[i]) + len(sets[j]) - both):
             parent[top(i)] = top(j)
+    first = {}
+    for i, (d, _) in enumerate(rows):  # rows of one id are one document, linked by each text that has words
+        if d is not None and sets[i]:
+            parent[top(i)] = top(first.setdefault(d, i))
     least = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
@@ -137,6 +142,7 @@ def test_near_groups(spark):
             w[p] = f"n{rng.integers(0, 10**6)}"
         rows.append((100 + i, " ".join(w)))
     rows += [(100, " ".join(base)), (None, " ".join(base)), (700, "long " * 3000), (701, "long " * 2500)]
+    rows += [(800, "one two three four five"), (802, "six seven eight nine ten"), (802, "one two three four five"), (802, ""), (803, "six seven eight nine ten")]
     docs = spark.createDataFrame([(*r, 1, "m") for r in rows], "doc_id long, text string, n int, mark string")
     got = near_dup.near_groups(docs, 4)
     assert got_groups(got) == brute_groups(rows, 4, 80)
@@ -144,6 +150,37 @@ def test_near_groups(spark):
     assert near_dup.near_groups(docs.where("false"), 4).count() == 0
 
 
+def test_large_mixed_buckets(spark, monkeypatch):
+    """Hubs, and buckets of many components in small blocks: no link is lost, and only rows outside the largest component are copied much."""
+    rng = np.random.default_rng(9)
+    base = [f"v{i}" for i in rng.integers(0, 500, 60)]
+    rows = []
+    for i in range(420):
+        w = list(base)
+        for p in rng.integers(0, 60, 1 if i < 300 else 3):
+            w[p] = f"n{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "SPREAD", 8)
+    assert got_groups(near_dup.near_groups(docs, 4)) == brute_groups(rows, 4, 80)
+
+
+def test_blocks_copy_the_largest_component_once(spark):
+    named = spark.createDataFrame([(0, 7, i, i, 50, 0 if i < 5000 else i) for i in range(5003)], "slot int, band long, id long, s long, n long, label long")
+    regs = named.select("s", F.lit(b"x").alias("regs"))
+    rows = near_dup._mixed_blocks(named, regs)
+    assert rows.where("label = 0").count() == 5000 and rows.count() <= 5000 + 3 * (1 + 10)
+
+
+def test_keep_first_with_odd_columns(spark):
+    rows = [(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, "other words that are here now", "z"), (3, "and a second text of this id", "q"), (None, "a b c d e f", "n"), (4, None, "w"), (3, "and a second text of this id", "q")]
+    docs = spark.createDataFrame([(d, t, m, 1, 2, "s", "u") for d, t, m in rows], "doc_id long, text string, _place string, kept int, label int, s string, row string")
+    got = near_dup.keep_first(docs, 5)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, "a b c d e f"), (1, "a b c d e f"), (3, "and a second text of this id"), (4, "")]
+
+
 def test_estimate_is_unbiased():
     rng = np.random.default_rng(0)
     for j in (0.3, 0.6, 0.8, 0.95):
