@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from tabulon.functions.columns import NAN_AS_ZERO
+from tabulon.operators.robust import median_by
+from tabulon.sources.adapter import running
 
 ACTIVE = "state <> 0"
 
@@ -40,9 +41,9 @@ def moments(c: str) -> list[Column]:
 def robust(df: DataFrame, which: str, nsig: float, by: list[str] | None = None) -> DataFrame:
     """Median, median absolute deviation, its Gaussian scale, and the threshold median + nsig * deviation, of groups (or of all)."""
     by = by or []
-    med = df.groupBy(*by).agg(F.median(which).alias("med"))
-    dev = df.join(F.broadcast(med) if not by else med, by or None).withColumn("_d", F.abs(F.col(which) - F.col("med")))
-    out = dev.groupBy(*by, "med").agg(F.median("_d").alias("mad"))
+    med = median_by(df, which, by)
+    dev = df.join(F.broadcast(med) if not by else med, by or None).withColumn("_d", F.abs(F.col(which) - F.col("med"))).withColumnRenamed("med", "_med")
+    out = median_by(dev, "_d", [*by, "_med"]).withColumnRenamed("med", "mad").withColumnRenamed("_med", "med")
     return out.select(*by, F.round("med", 6).alias("med"), F.round("mad", 6).alias("mad"), F.round(F.col("mad") * 1.4826, 6).alias("mad_gau"), F.round(F.col("med") + nsig * F.col("mad"), 6).alias("thres"))
 
 
@@ -84,8 +85,7 @@ def confusion(df: DataFrame, predicted: Column, actual: Column) -> DataFrame:
 def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """ROC area by wins of pairs, ties a half; counts of equal scores first, so the ordered window sees distinct scores only."""
     g = df.groupBy(score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.Window.orderBy(score).rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
-    wins = g.select("p", "n", below.alias("b")).agg(F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)).alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    wins = running(g, [score], ["n"]).select("p", "n", (F.col("cum_n") - F.col("n")).alias("b")).agg(F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)).alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return wins.select(F.round(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))).otherwise(0.5), 6).alias("auc"))
 
 

@@ -73,16 +73,21 @@ def hierarchical(d: np.ndarray, k: int, linkage: str = "complete") -> np.ndarray
 
 
 def threshold_groups(x: np.ndarray, limit: float) -> np.ndarray:
-    """Greedy groups of points in order: a point joins the first group with a member within the limit, and groups it bridges are merged once."""
+    """Groups of points in order, pair first: a point without a group founds one with all groupless points within the limit of it; then one pass merges a group into the first earlier one whose centroid (of that time) lies within the limit of its own. So two groups that a bridge of points joins stay apart unless their centroids are near."""
     labels = np.full(len(x), -1)
+    n = 0
     for i in range(len(x)):
-        near = np.flatnonzero((labels[:i] >= 0) & (((x[:i] - x[i]) ** 2).sum(axis=1) <= limit * limit))
-        if not len(near):
-            labels[i] = labels.max() + 1 if i else 0
-            continue
-        joined = np.unique(labels[near])
-        labels[i] = joined[0]
-        labels[np.isin(labels, joined)] = joined[0]
+        if labels[i] < 0:
+            near = (labels < 0) & (((x - x[i]) ** 2).sum(axis=1) <= limit * limit)
+            labels[near] = n
+            n += 1
+    for g in range(n):
+        own = x[labels == g]
+        for h in range(g):
+            other = x[labels == h]
+            if len(own) and len(other) and ((own.mean(axis=0) - other.mean(axis=0)) ** 2).sum() <= limit * limit:
+                labels[labels == g] = h
+                break
     return np.unique(labels, return_inverse=True)[1]
 
 

@@ -62,14 +62,15 @@ def _nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray, base: np.ndarra
         x = b.column(1).flatten().to_numpy().astype(np.float64).reshape(len(own), -1)
         d = (x**2).sum(axis=1)[:, None] + norm - 2 * x @ base.T
         d[own[:, None] == ids] = np.inf
-        near = np.argpartition(d, min(k, d.shape[1] - 1), axis=1)[:, :k]
-        exact = ((x[:, None] - base[near]) ** 2).sum(axis=2)
-        exact[own[:, None] == ids[near]] = np.inf
-        order = np.lexsort((ids[near], exact), axis=1)
-        near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
-        keep = np.isfinite(exact)
-        rank = np.tile(np.arange(1, near.shape[1] + 1), (len(own), 1))
-        yield pa.record_batch([pa.array(np.repeat(own, near.shape[1])[keep.ravel()]), pa.array(ids[near][keep]), pa.array(rank[keep]), pa.array(exact[keep])], names=["src", "dst", "rank", "d2"])
+        last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        # all that the k-th distance may tie with, by exact distance and id
+        q, j = np.nonzero((d <= last[:, None] + 1e-9 * (1 + np.abs(last[:, None]))) & np.isfinite(d))
+        exact = ((x[q] - base[j]) ** 2).sum(axis=1)
+        order = np.lexsort((ids[j], exact, q))
+        q, j, exact = q[order], j[order], exact[order]
+        rank = np.arange(1, len(q) + 1) - np.searchsorted(q, q)
+        keep = rank <= k
+        yield pa.record_batch([pa.array(own[q[keep]]), pa.array(ids[j[keep]]), pa.array(rank[keep]), pa.array(exact[keep])], names=["src", "dst", "rank", "d2"])
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int, block: int = 20_000) -> DataFrame:
@@ -83,6 +84,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, block: int = 20_000) ->
         if len(ids):
             part = queries.select("id", "v").mapInArrow(partial(_nearest, ids=ids, base=vectors, k=k), "src long, dst long, rank long, d2 double")
             found = part if found is None else found.unionByName(part)
+    if found is None:  # no base vectors, no neighbours
+        return queries.sparkSession.createDataFrame([], "src long, dst long, rank long, d2 double")
     if parts == 1:
         return found
     best = found.groupBy("src").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "dst"))), 1, k).alias("n"))

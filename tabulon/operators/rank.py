@@ -6,10 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tabulon.sources.adapter import positions
+
 
 def shuffled(seed: int) -> Column:
-    """A fixed pseudo-random order that SQL engines share: a multiplicative hash of pind."""
-    return F.pmod(F.col("pind") * F.lit(7919 + 104729 * seed) + F.lit(15485863), F.lit(1000003))
+    """A fixed pseudo-random order that SQL engines share: a digest of the seed and pind."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col("pind").cast("string")))
+
+
+def uniform(seed: int) -> Column:
+    """A fixed pseudo-random number in [0, 1) for each pind: the digest's first 32 bits."""
+    return F.conv(F.substring(shuffled(seed), 1, 8), 16, 10).cast("double") / 2**32
+
+
+def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows in an order that is total, for any n: rows are numbered through range partitions."""
+    keys = [f"_key{i}" for i in range(len(order))]
+    return positions(df.withColumns(dict(zip(keys, order, strict=True))), keys, "_place").where(F.col("_place") <= n).drop(*keys, "_place")
 
 
 def top(df: DataFrame, by: list[Column], n: int) -> DataFrame:
@@ -29,7 +42,7 @@ def sample_lowest(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     whole: list[int] = []
     for tier, n in tiers:
         if n > left:
-            cut = rows.where(F.col("updatecnt") == tier).orderBy(shuffled(seed), "pind").limit(left)
+            cut = first_rows(rows.where(F.col("updatecnt") == tier), [shuffled(seed), F.col("pind")], left)
             return rows.where(F.col("updatecnt").isin(whole)).unionByName(cut) if whole else cut
         whole.append(tier)
         left -= n
@@ -105,8 +118,11 @@ def compact_labels(df: DataFrame, label: str, most: int) -> DataFrame:
     return df.join(F.broadcast(new), label, "left").withColumn(label, F.coalesce("_new", F.lit(0))).withColumn("state", F.when(F.col("_new").isNull(), 0).otherwise(F.col("state"))).drop("_new")
 
 
-def split_group(df: DataFrame, label: str, value: int, new: int, seed: int = 0) -> DataFrame:
-    """Half of a group, in fixed random order, gets a new label."""
+def split_group(df: DataFrame, label: str, value: int, seed: int = 0) -> DataFrame:
+    """Half of a group, in fixed random order, gets the next label after the largest; a label out of range is an error."""
+    new = int(df.agg(F.coalesce(F.greatest(F.lit(1), F.max(label)), F.lit(1))).first()[0]) + 1
+    if not 1 <= value < new:
+        raise ValueError(f"{label} {value} is out of range")
     half = df.where(F.col(label) == value).select("pind", F.ntile(2).over(W.Window.partitionBy(label).orderBy(shuffled(seed), "pind")).alias("_half"), label)
     moved = half.where("_half = 2").select("pind", F.lit(new).alias("_to"))
     return df.join(moved, "pind", "left").withColumn(label, F.coalesce("_to", label)).drop("_to")

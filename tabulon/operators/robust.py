@@ -6,12 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tabulon.sources.adapter import running
+
 UPTO = W.Window.unboundedPreceding, W.Window.currentRow
 
 
 def _cumulative(df: DataFrame, which: str, weight: Column) -> DataFrame:
     g = df.groupBy(F.col(which).alias("x")).agg(F.sum(weight).alias("w"))
-    return g.select("x", "w", F.sum("w").over(W.Window.orderBy("x").rowsBetween(*UPTO)).alias("cum"))
+    return running(g, ["x"], ["w"]).withColumnRenamed("cum_w", "cum")
+
+
+def median_by(df: DataFrame, which: str, by: list[str]) -> DataFrame:
+    """(by, med): exact medians of groups of any size, the mean of the two middle values, from counts of values in order; nulls don't count."""
+    g = df.where(F.col(which).isNotNull()).groupBy(*by, F.col(which).alias("_x")).agg(F.count("*").alias("_n"))
+    c = running(g, [*by, "_x"], ["_n"])
+    total = c.groupBy(*by).agg(F.max("cum__n").alias("_end"), F.sum("_n").alias("_all"))
+    place = F.col("cum__n") - (F.col("_end") - F.col("_all"))
+    inside = (c.join(total, by) if by else c.join(F.broadcast(total))).withColumn("_place", place)
+    middle = lambda p: F.min(F.when(F.col("_place") >= p, F.col("_x")))
+    return inside.groupBy(*by).agg(((middle(F.floor((F.col("_all") + 1) / 2)) + middle(F.floor((F.col("_all") + 2) / 2))) / 2).alias("med"))
 
 
 def at_place(df: DataFrame, which: str, place: Column) -> DataFrame:
@@ -41,25 +54,29 @@ def mean_of_smallest(df: DataFrame, which: str, fraction: float) -> DataFrame:
 
 
 def two_sample_distance(df: DataFrame, which: str, second: Column) -> DataFrame:
-    """The Kolmogorov-Smirnov statistic of the rows of both samples."""
+    """The Kolmogorov-Smirnov statistic of the rows of both samples, and its significance by the asymptotic series."""
     g = df.groupBy(which).agg(F.count_if(~second).alias("a"), F.count_if(second).alias("b"))
-    w = W.Window.orderBy(which).rowsBetween(*UPTO)
-    c = g.select(F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb"))
+    c = running(g, [which], ["a", "b"])
     n = F.broadcast(g.agg(F.sum("a").alias("na"), F.sum("b").alias("nb")))
-    return c.join(n).agg(F.round(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))), 6).alias("d"))
+    both = c.join(n).agg(F.max(F.abs(F.col("cum_a") / F.col("na") - F.col("cum_b") / F.col("nb"))).alias("d"), F.max(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb"))).alias("en"))
+    lam = (F.sqrt("en") + 0.12 + 0.11 / F.sqrt("en")) * F.col("d")
+    series = sum((2.0 * (-1) ** (k - 1) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 101)), F.lit(0.0))
+    return both.select(F.round("d", 6).alias("d"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)), 6).alias("prob"))
 
 
-def otsu(df: DataFrame, which: str, bins: int = 256) -> DataFrame:
-    """The threshold of the least within-class variance over a histogram of `bins` equal bins: 256 rows are windowed, however many there are."""
+def otsu(df: DataFrame, which: str) -> DataFrame:
+    """The threshold of the least within-class variance: values scaled to 0..255 fall to the nearest of 256 bins (of width 256/256 from the least), the first cut is never taken, and the cut is scaled back; 256 rows are windowed, however many there are."""
     lim = F.broadcast(df.agg(F.min(which).alias("_lo"), F.max(which).alias("_hi")))
-    b = F.least(F.lit(bins - 1), F.floor((F.col(which) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)).cast("int")
-    h = df.join(lim).groupBy(b.alias("b"), "_lo", "_hi").agg(F.count("*").alias("n"))
+    b = F.least(F.lit(255), F.round((F.col(which) - F.col("_lo")) * 255 / (F.col("_hi") - F.col("_lo")))).cast("int")
+    h = df.join(lim).groupBy(b.alias("b"), "_lo", "_hi").agg(F.count("*").cast("double").alias("n"))
+    every = lim.select(F.explode(F.sequence(F.lit(0), F.lit(255))).alias("b"), "_lo", "_hi").join(h.select("b", "n"), "b", "left").fillna(0.0, ["n"])
     w = W.Window.orderBy("b").rowsBetween(*UPTO)
-    every = W.Window.partitionBy("_lo")
-    n1, s1, q1 = F.sum("n").over(w), F.sum(F.col("n") * F.col("b")).over(w), F.sum(F.col("n") * F.col("b") * F.col("b")).over(w)
-    n, s, q = F.sum("n").over(every), F.sum(F.col("n") * F.col("b")).over(every), F.sum(F.col("n") * F.col("b") * F.col("b")).over(every)
+    whole = W.Window.partitionBy("_lo")
+    terms = ("n", "n * b", "n * b * b")
+    n1, s1, q1 = (F.sum(F.expr(t)).over(w) for t in terms)
+    n, s, q = (F.sum(F.expr(t)).over(whole) for t in terms)
     within = (q1 - s1 * s1 / n1) + F.when(n > n1, (q - q1) - (s - s1) * (s - s1) / (n - n1)).otherwise(0.0)
-    cut = h.select("b", "_lo", "_hi", F.round(within, 4).alias("v")).agg(F.min_by(F.col("_lo") + (F.col("b") + 1) * (F.col("_hi") - F.col("_lo")) / bins, F.struct("v", "b")).alias("t"))
+    cut = every.select("b", "_lo", "_hi", F.round(within, 4).alias("v")).where("b between 1 and 254").agg(F.min_by(F.col("_lo") + F.col("b") * (F.col("_hi") - F.col("_lo")) / 255, F.struct("v", "b")).alias("t"))
     return cut.select(F.round("t", 6).alias("threshold"))
 
 

@@ -39,14 +39,14 @@ def query(sql: str | None = None, base: bool = True):
 # Selection
 
 
-@query("SELECT pind, corr FROM ptcl WHERE state > 0 AND pind BETWEEN 10 AND 5000")
+@query("SELECT pind, corr FROM ptcl WHERE state > 0")
 def get_all(spark, d):
-    return P.get_all(particles(spark, d), "corr", (10, 5000), nonzero=True)
+    return P.get_all(particles(spark, d), "corr", nonzero=True)
 
 
-@query("SELECT pind, round(dfx)::BIGINT AS dfx FROM ptcl WHERE pind <= 3000")
+@query("SELECT pind, round(dfx)::BIGINT AS dfx FROM ptcl")
 def get_all_asint(spark, d):
-    return P.get_all_asint(particles(spark, d), "dfx", (1, 3000))
+    return P.get_all_asint(particles(spark, d), "dfx")
 
 
 @query("SELECT pind, corr FROM ptcl WHERE class = 3 AND state > 0")
@@ -79,9 +79,9 @@ def gen_ptcl_mask(spark, d):
     return P.best_fraction(particles(spark, d), "class", 2, 0.2)
 
 
-@query("SELECT pind, state = 1 AND class = 4 AS mask FROM ptcl WHERE pind BETWEEN 1 AND 4000")
+@query("SELECT pind, state = 1 AND class = 4 AS mask FROM ptcl")
 def gen_mask(spark, d):
-    return P.between(particles(spark, d), (1, 4000)).select("pind", ((F.col("state") == 1) & (F.col("class") == 4)).alias("mask"))
+    return particles(spark, d).select("pind", ((F.col("state") == 1) & (F.col("class") == 4)).alias("mask"))
 
 
 @query("SELECT pind, state > 0 AS incl FROM ptcl")
@@ -332,15 +332,16 @@ def avg_frac_smallest(spark, d):
 
 
 @query("""WITH g AS (SELECT value, count(*) FILTER (user_id % 2 = 0) AS a, count(*) FILTER (user_id % 2 = 1) AS b FROM events GROUP BY value),
-    c AS (SELECT sum(a) OVER (ORDER BY value) / sum(a) OVER ()::DOUBLE AS fa, sum(b) OVER (ORDER BY value) / sum(b) OVER ()::DOUBLE AS fb FROM g) SELECT round(max(abs(fa - fb)), 6) AS d FROM c""", base=False)
+    c AS (SELECT sum(a) OVER (ORDER BY value) / sum(a) OVER ()::DOUBLE AS fa, sum(b) OVER (ORDER BY value) / sum(b) OVER ()::DOUBLE AS fb FROM g),
+    m AS (SELECT max(abs(fa - fb)) AS d, (SELECT sqrt(sum(a) * sum(b) / (sum(a) + sum(b))::DOUBLE) FROM g) AS e FROM c)
+    SELECT round(any_value(d), 6) AS d, round(least(1, greatest(0, sum(2 * (CASE WHEN k.range % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k.range * k.range * ((e + 0.12 + 0.11 / e) * d) ** 2)))), 6) AS prob FROM m, range(1, 101) k""", base=False)
 def kstwo(spark, d):
     return B.two_sample_distance(table(spark, d, "events"), "value", F.col("user_id") % 2 == 1)
 
 
-@query("""WITH l AS (SELECT min(value) AS lo, max(value) AS hi FROM events), h AS (SELECT least(255, floor((value - lo) / (hi - lo) * 256))::INT AS b, count(*) AS n FROM events, l GROUP BY 1),
-    c AS (SELECT b, sum(n) OVER w AS n1, sum(n * b) OVER w AS s1, sum(n * b * b) OVER w AS q1, sum(n) OVER () AS n, sum(n * b) OVER () AS s, sum(n * b * b) OVER () AS q FROM h WINDOW w AS (ORDER BY b)),
-    v AS (SELECT b, round((q1 - s1 * s1 / n1::DOUBLE) + CASE WHEN n > n1 THEN (q - q1) - (s - s1) * (s - s1) / (n - n1)::DOUBLE ELSE 0 END, 4) AS v FROM c)
-    SELECT round(lo + (b + 1) * (hi - lo) / 256, 6) AS threshold FROM l, (SELECT b FROM v ORDER BY v, b LIMIT 1)""", base=False)
+@query("""WITH l AS (SELECT min(value) AS lo, max(value) AS hi FROM events), v AS (SELECT round((value - lo) * 255 / (hi - lo))::INT AS b FROM events, l),
+    t AS (SELECT range AS t FROM range(1, 255)), s AS (SELECT t, var_pop(b) FILTER (b <= t) * count(*) FILTER (b <= t) + coalesce(var_pop(b) FILTER (b > t) * count(*) FILTER (b > t), 0) AS within FROM v, t GROUP BY t)
+    SELECT round(lo + t * (hi - lo) / 255, 6) AS threshold FROM l, (SELECT t FROM s ORDER BY round(within, 4), t LIMIT 1)""", base=False)
 def otsu(spark, d):
     return B.otsu(table(spark, d, "events"), "value")
 
@@ -436,7 +437,7 @@ def peakfinder(spark, d):
 
 # Samples
 
-SHUFFLED = "((pind * 7919 + 15485863) % 1000003)"
+SHUFFLED = "md5('0:' || pind)"
 
 
 @query(f"""SELECT pind FROM (SELECT pind, row_number() OVER (ORDER BY updatecnt, {SHUFFLED}, pind) AS k, round(0.1 * count(*) OVER ()) AS n FROM ptcl WHERE state > 0) WHERE k <= n""")
@@ -505,9 +506,9 @@ def merge_projects(spark, d):
     return S.merge_projects([(a, p), (b, p)])[0].select("okey", "fromp", "top", "project")
 
 
-@query("SELECT pind, r.range AS copy FROM ptcl, range(1, 4) r WHERE pind <= 1000")
+@query("SELECT pind, r.range AS copy FROM ptcl, range(1, 4) r")
 def symmetrize(spark, d):
-    return S.symmetrize(particles(spark, d).where("pind <= 1000").select("pind"), 3).select("pind", F.col("copy").cast("long").alias("copy"))
+    return S.symmetrize(particles(spark, d).select("pind"), 3).select("pind", F.col("copy").cast("long").alias("copy"))
 
 
 @query("""SELECT round((SELECT count(*) FROM (SELECT DISTINCT class FROM ptcl WHERE state = 1 INTERSECT SELECT DISTINCT class FROM ptcl WHERE state = 2 AND corr > 0.09)) /
@@ -517,16 +518,18 @@ def overlap(spark, d):
     return S.overlap(p.where("state = 1"), p.where("state = 2 and corr > 0.09"), "class")
 
 
-@query(""", pop AS (SELECT class, count(*) AS n FROM ptcl WHERE state <> 0 AND class % 3 <> 0 GROUP BY class), m AS (SELECT class, row_number() OVER (ORDER BY class) AS new FROM pop WHERE n > 1)
-    SELECT p.pind, coalesce(m.new, 0) AS class, CASE WHEN m.new IS NULL THEN 0 ELSE p.state END AS state FROM ptcl p LEFT JOIN m USING (class) WHERE class % 3 <> 0""")
+@query(""", pop AS (SELECT class, count(*) AS n FROM ptcl WHERE state = 2 GROUP BY class), m AS (SELECT class, row_number() OVER (ORDER BY class) AS new FROM pop WHERE n > 1)
+    SELECT p.pind, CASE WHEN (SELECT count(*) FROM pop) = (SELECT max(class) FROM ptcl) THEN class ELSE coalesce(m.new, 0) END AS class,
+    CASE WHEN state <> 2 THEN 0 WHEN (SELECT count(*) FROM pop) = (SELECT max(class) FROM ptcl) THEN 2 WHEN m.new IS NULL THEN 0 ELSE 2 END AS state FROM ptcl p LEFT JOIN m USING (class)""")
 def remap_cls(spark, d):
-    p = particles(spark, d).where("class % 3 <> 0")
+    """Classes without a particle of state 2 count as empty; all rows stay."""
+    p = particles(spark, d).withColumn("state", F.when(F.col("state") == 2, 2).otherwise(0))
     return R.compact_labels(p, "class", int(p.agg(F.max("class")).first()[0])).select("pind", "class", "state")
 
 
-@query(f"""SELECT p.pind, CASE WHEN h.k = 2 THEN 999 ELSE class END AS class FROM ptcl p LEFT JOIN (SELECT pind, ntile(2) OVER (ORDER BY {SHUFFLED}, pind) AS k FROM ptcl WHERE class = 2) h USING (pind)""")
+@query(f"""SELECT p.pind, CASE WHEN h.k = 2 THEN (SELECT max(class) + 1 FROM ptcl) ELSE class END AS class FROM ptcl p LEFT JOIN (SELECT pind, ntile(2) OVER (ORDER BY {SHUFFLED}, pind) AS k FROM ptcl WHERE class = 2) h USING (pind)""")
 def split_class(spark, d):
-    return R.split_group(particles(spark, d), "class", 2, 999).select("pind", "class")
+    return R.split_group(particles(spark, d), "class", 2).select("pind", "class")
 
 
 # Scalars
@@ -544,19 +547,12 @@ def cnt_recs_per_line(spark, d):
     return table(spark, d, "documents").select("doc_id", C.count_tokens(F.col("text")).cast("long").alias("tokens"))
 
 
-@query("SELECT pind, class, state, corr, updatecnt FROM ptcl WHERE pind <= 2000")
+@query("SELECT pind, class, state, corr, updatecnt FROM ptcl")
 def text_round_trip(spark, d):
-    p = particles(spark, d).where("pind <= 2000")
+    p = particles(spark, d)
     return from_lines(to_lines(p, ["pind", "class", "state", "corr", "updatecnt"]), {"pind": "long", "class": "long", "state": "int", "corr": "double", "updatecnt": "int"})
 
 
-@query("""SELECT pind, round(acos(greatest(-1, least(1, sin(radians(dfy * 1000)) * cos(radians(corr * 3600)) * 0 + sin(radians(dfy * 1000)) * sin(radians(corr * 3600)) * 0 + cos(radians(dfy * 1000)) * 1))), 6) AS dist FROM ptcl""")
-def euler_dist(spark, d):
-    """The angle between each particle's direction and the pole."""
-    pole = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z"))
-    return particles(spark, d).select("pind", F.round(C.direction_distance(C.euler_normal(F.col("corr") * 3600, F.col("dfy") * 1000), pole), 6).alias("dist"))
-
-
 @query("SELECT pind, (2 * ceil((corr * 100 - 1) / 2))::BIGINT AS even, round(CASE WHEN corr = 0 THEN 1 ELSE sin(corr) / corr END, 9) AS sinc, round(exp(-((corr - 0.05) ** 2) / 0.02) / sqrt(2 * pi() * 0.01), 6) AS gauss FROM ptcl")
 def math_functions(spark, d):
     c = F.col("corr")
@@ -591,3 +587,6 @@ def count_chunks(spark, d):
     """Chunks closed by the record that takes their sum over the limit, for each event type."""
     e = table(spark, d, "events").select(F.col("event_type").alias("source"), F.col("event_id").alias("record_id"), (F.col("user_id") % 7 + 1).alias("n"))
     return chunks_of(e, 40).withColumn("records", F.array_join("records", ","))
+
+
+from tabulon.plans import more  # noqa: E402, F401  registers further queries

@@ -46,21 +46,31 @@ def number_table(spark: SparkSession, path: str, columns: list[str]) -> DataFram
 def star_loop(spark: SparkSession, path: str, block: str) -> tuple[list[str], DataFrame]:
     """Column names (without the underscore) of a data block's loop, and its rows as arrays of strings.
 
-    The file's head is read for the columns up to the first data row of the block; the rows are every line of the right
-    number of fields, so a file with several loops of equal widths isn't told apart: read one block a file, as written here.
+    Lines carry their file and place; blocks start at `data_` lines, of which a file has few, wherever they stand: those
+    lines and the names of columns (`_` lines) are collected, and a row belongs to the block that starts last before it.
     """
-    head = [r.value for r in spark.read.text(path).limit(2000).collect()]
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.trim("value").alias("value"))
+    heads = lines.where("startswith(value, 'data_') or startswith(value, '_')").orderBy("file", "at").collect()
     names: list[str] = []
-    inside = False
-    for line in (x.strip() for x in head):
-        if line.startswith("data_"):
-            inside = line == f"data_{block}"
-        elif inside and line.startswith("_"):
-            names.append(re.split(r"\s+", line)[0][1:])
-        elif inside and names and line and not line.startswith(("#", "loop_")):
-            break
-    parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).where("NOT rlike(trim(value), '^(_|#|data_|loop_|$)')").select(parts.alias("f")).where(F.size("f") == len(names))
+    starts, ends = [], []
+    inside = None
+    for r in heads:
+        if r.value.startswith("data_"):
+            if inside is not None:
+                ends.append(r.at)
+            inside = r.at if r.value == f"data_{block}" else None
+            if inside is not None:
+                starts.append(inside)
+        elif inside is not None and len(starts) == 1:
+            names.append(re.split(r"\s+", r.value)[0][1:])
+    if not starts:
+        return [], lines.where("false").select(F.split("value", " ").alias("f"))
+    ends += [1 << 62] * (len(starts) - len(ends))
+    own = F.lit(False)
+    for s, e in zip(starts, ends, strict=True):
+        own = own | ((F.col("at") > s) & (F.col("at") < e))
+    parts = F.split("value", r"\s+")
+    rows = lines.where(own).where("NOT rlike(value, '^(_|#|data_|loop_|$)')").select(parts.alias("f")).where(F.size("f") == len(names))
     return names, rows
 
 
@@ -91,7 +101,7 @@ def export_star(df: DataFrame, path: str, columns: dict[str, str], block: str =
 
 def stack_map(df: DataFrame, order: str = "pind") -> DataFrame:
     """Stacks numbered by their first row, with the largest place in each: stk, stkind, most."""
-    from pyspark.sql import window as W
+    from tabulon.sources.adapter import positions
 
     first = df.groupBy("stk").agg(F.min(order).alias("_first"), F.max("indstk").alias("most"))
-    return first.select("stk", F.row_number().over(W.Window.orderBy("_first")).alias("stkind"), "most")
+    return positions(first, ["_first"], "stkind").select("stk", "stkind", "most")
