@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what a stage returns to the shared folder
 and hands the written table on. All stages but the last keep the columns of documents. Null or empty texts pass the
-filters and are packed as their end id alone; rows without an id are scored, searched for test items and packed, but no
-other row stands for them; an empty table passes through.
+filters and are packed as their end id alone; very long texts are read whole; rows without an id are scored, searched for
+test items and packed, but no other row stands for them; of equal documents the least id stays, and rows that share an id
+are one document; an empty table passes through, and other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from tabulon.llm.packing import pack_documents
 from tabulon.llm.queries import VOCABULARY
 from tabulon.llm.substring import repeats, without_repeats
 from tabulon.llm.tokens import public_path
-from tabulon.session import table, written
+from tabulon.session import passing, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +60,7 @@ ORACLE_SQL = None  # the stages are tested against brute force in tests/llm/test
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with passing(spark) as kept:  # what a stage wrote for itself goes with it
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
