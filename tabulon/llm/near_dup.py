@@ -11,16 +11,17 @@ M registers serve keys and estimates.
    above the similarity less MARGIN; then the full sets (64-bit hashes) decide.
 3. Links make components (least-label propagation with pointer jumping). Buckets that hold several components are
    searched further: rows outside the bucket's largest component are compared with each other and with its rows, in
-   blocks of about BLOCK rows, and the largest component's rows not among themselves. The best partners of each row in each
-   other component are verified first (4, then 64, then all that are left), and components that meet drop out. No candidate
-   of an undecided component is left unverified.
+   blocks of about BLOCK rows or BLOCK_BYTES of sets, and the largest component's rows not among themselves. Sketches tell
+   which rows have a likely partner in another component; these rows meet once more, with their full sets, and each
+   likely pair of components that are still apart is verified where it is found. Only links leave a block, fewer than
+   its rows; no pair is written.
 
 A link is missed only if no band of two sets agrees, 3e-8 at a similarity of 0.8 (BANDS = 44, ROWS = 5), or if
 the estimate is off by MARGIN, five standard errors. Two different shingles count as one if their 64-bit hashes agree.
 
-Rows of each step: BANDS for a set, fewer stars, one full set for each set in a shared bucket; in step 3 a bucket with r
-rows outside its largest component copies each row r / BLOCK times at most (the others n / BLOCK times), so a step grows
-with rows unless buckets are large and mixed throughout. Buckets and counts are partial aggregates; a key with more than SPREAD rows (a
+Rows of each step: BANDS for a set, fewer stars, one full set for each set in a shared bucket; in step 3 a bucket of n rows,
+r of them outside its largest component, copies these n / BLOCK times and the others r / BLOCK times, so a step grows with
+rows unless buckets are large and mixed throughout. Buckets and counts are partial aggregates; a key with more than SPREAD rows (a
 pivot, a hub) is dealt by a salt, and only its partner's one row is copied; full sets are built only for candidates.
 
 Cases: texts without words have an empty set, linked with nothing; shorter texts than k words are one shingle; very long
@@ -44,7 +45,7 @@ from tabulon.session import forget, small_batches, written
 
 M, BANDS, ROWS, BASE, RATE = 512, 44, 5, 1.05, 20.0
 MARGIN = 0.085
-BLOCK, SPREAD, SALTS = 512, 64, 64
+BLOCK, BLOCK_BYTES, SPREAD, SALTS = 512, 4 << 20, 64, 64
 _MUL = seeds(M, 21) | np.uint64(1)
 _LOG = np.log(BASE)
 
@@ -133,17 +134,6 @@ def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
             yield b.select(["a", "b", "na", "nb", "sa", "sb"]).filter(pa.array(estimate(ra, rb, b.column(2).to_numpy(), b.column(3).to_numpy()) >= least))
 
 
-def _ranks(row: np.ndarray, comp: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """The place of each pair among the pairs of its row and other component, best estimate first."""
-    order = np.lexsort((-e, comp, row))
-    new = np.ones(len(order), bool)
-    new[1:] = (row[order][1:] != row[order][:-1]) | (comp[order][1:] != comp[order][:-1])
-    first = np.flatnonzero(new)
-    out = np.empty(len(order), np.int64)
-    out[order] = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-    return out
-
-
 def _pairs_of(count: np.ndarray, step: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of rows of each group (sizes `count`, rows in order), about `step` at a time."""
     i_s, j_s, have, at = [], [], 0, 0
@@ -165,15 +155,24 @@ _PAIR = ("a", "b", "na", "nb", "sa", "sb")
 PAIR = "a long, b long, na long, nb long, sa long, sb long"
 
 
-def _across_groups(t: pa.Table, least: float, ratio: float, most: int) -> pa.RecordBatch | None:
-    """Rows (band, x, y, i, id, s, n, label, regs, slot) of whole groups (band, x, y): likely pairs of different components, from both blocks, of which this is the first band that both share."""
-    band, x, y, block, ids, sets, n, comp, slot = (t[c].to_numpy() for c in ("band", "x", "y", "i", "id", "s", "n", "label", "slot"))
+def _across_groups(t: pa.Table, least: float, ratio: float, similarity: int) -> pa.RecordBatch | None:
+    """Of rows (band, x, y, i, id, s, n, label, slot, regs[, set]) of whole groups (band, x, y), the likely pairs of different components from both blocks, at the first band that both share. Without sets: the rows (band, s) of such pairs. With sets: links (a, b) of components that no earlier link here joins."""
+    band, x, y, block, ids, own, n, comp, slot = (t[c].to_numpy() for c in ("band", "x", "y", "i", "id", "s", "n", "label", "slot"))
     regs = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint8).reshape(-1, M)
     new = np.ones(len(band), bool)
     new[1:] = (band[1:] != band[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     count = np.diff(np.append(np.flatnonzero(new), len(band)))
-    group = np.cumsum(new)
-    found = []
+    asking = np.zeros(len(band), bool)
+    sets = t["set"].to_pylist() if "set" in t.schema.names else None
+    top: dict[int, int] = {}
+    links: list[tuple[int, int]] = []
+
+    def find(c: int) -> int:
+        while (up := top.get(c, c)) != c:
+            top[c] = top.get(up, up)
+            c = up
+        return c
+
     for i, j in _pairs_of(count):
         keep = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j])) & ((block[i] != block[j]) | (x[i] == y[i]))
         i, j = i[keep], j[keep]
@@ -181,23 +180,28 @@ def _across_groups(t: pa.Table, least: float, ratio: float, most: int) -> pa.Rec
         first = same[:, : BANDS * ROWS].reshape(len(i), BANDS, ROWS).all(axis=2).argmax(axis=1)
         keep = (same.sum(axis=1) >= M * (least - 0.03)) & (first == slot[i])
         i, j = i[keep], j[keep]
-        if len(i):
-            e = estimate(regs[i], regs[j], n[i], n[j])
-            found.append((i[e >= least], j[e >= least], e[e >= least]))
-    if not found:
-        return None
-    i, j, e = (np.concatenate(c) for c in zip(*found, strict=True))
-    width = np.int64(len(band) + 1)
-    place = np.minimum(_ranks(i, group[i] * width + np.unique(comp, return_inverse=True)[1][j], e), _ranks(j, group[j] * width + np.unique(comp, return_inverse=True)[1][i], e))
-    keep = place < most
-    cut = not keep.all()
-    i, j = i[keep], j[keep]
-    swap = ids[i] > ids[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    return pa.record_batch([*(pa.array(c) for c in (ids[i], ids[j], n[i], n[j], sets[i], sets[j], np.full(len(i), cut)))], names=[*_PAIR, "cut"])
-
-
-def _across(batches: Iterator[pa.RecordBatch], least: float, ratio: float, most: int) -> Iterator[pa.RecordBatch]:
+        if not len(i):
+            continue
+        e = estimate(regs[i], regs[j], n[i], n[j])
+        if sets is None:
+            asking[i[e >= least]] = asking[j[e >= least]] = True
+            continue
+        likely = np.flatnonzero(e >= least)
+        for k in likely[np.argsort(-e[likely], kind="stable")].tolist():
+            p, q = int(i[k]), int(j[k])
+            a, b = find(int(comp[p])), find(int(comp[q]))
+            if a == b:
+                continue
+            both = common(sets[p], sets[q])
+            if 100 * both >= similarity * (int(n[p]) + int(n[q]) - both):
+                top[max(a, b)] = min(a, b)
+                links.append((int(ids[p]), int(ids[q])))
+    if sets is None:
+        return pa.record_batch([pa.array(band[asking]), pa.array(own[asking])], names=["band", "s"]) if asking.any() else None
+    return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"]) if links else None
+
+
+def _across(batches: Iterator[pa.RecordBatch], least: float, ratio: float, similarity: int) -> Iterator[pa.RecordBatch]:
     """Cuts sorted batches at the ends of groups."""
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -206,13 +210,13 @@ def _across(batches: Iterator[pa.RecordBatch], least: float, ratio: float, most:
         key = np.stack([b.column(i).to_numpy() for i in range(3)])
         last = int(np.flatnonzero((key != key[:, -1:]).any(axis=0))[-1]) + 1 if (key != key[:, -1:]).any() else 0
         if last or (held and [c[held[-1].num_rows - 1].as_py() for c in held[-1].columns[:3]] != key[:, 0].tolist()):
-            out = _across_groups(pa.Table.from_batches([*held, b.slice(0, last)]), least, ratio, most)
+            out = _across_groups(pa.Table.from_batches([*held, b.slice(0, last)]), least, ratio, similarity)
             held = []
             if out is not None:
                 yield out
         held.append(b.slice(last))
     if held:
-        out = _across_groups(pa.Table.from_batches(held), least, ratio, most)
+        out = _across_groups(pa.Table.from_batches(held), least, ratio, similarity)
         if out is not None:
             yield out
 
@@ -259,17 +263,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _mixed_blocks(named: DataFrame, regs: DataFrame) -> DataFrame:
-    """Rows (band, x, y, i, id, s, n, label, regs, slot) of the buckets with several components, by pairs of blocks (x, y) and sorted: those outside the largest component against all."""
-    size = written(named.groupBy("band", "label").agg(F.count("*").alias("k")), "near-sizes")
-    mixed = size.groupBy("band").agg(F.max_by("label", "k").alias("big"), F.max("k").alias("most"), F.sum("k").alias("all")).where("most < all")
-    mixed = written(mixed.select("band", "big", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("most") / BLOCK).cast("int").alias("many")), "near-mixed")
+def _mixed_blocks(named: DataFrame, data: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (band, x, y, i, id, s, n, label, slot, and data's columns) of the buckets with several components, by pairs of blocks (x, y) and sorted: those outside the largest component against all. And the written table of these buckets."""
+    size = named.groupBy("band", "label").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    mixed = size.groupBy("band").agg(F.max_by("label", "k").alias("big"), F.max("k").alias("most"), F.sum("k").alias("all"), F.max_by("n", "k").alias("most_n"), F.sum("n").alias("all_n")).where("most < all")
+    blocks = lambda k, n: F.greatest(F.ceil(k / BLOCK), F.ceil(8 * n / BLOCK_BYTES)).cast("int")
+    most, every, most_n, every_n = (F.col(c) for c in ("most", "all", "most_n", "all_n"))
+    mixed = written(mixed.select("band", "big", blocks(every - most, every_n - most_n).alias("few"), blocks(most, most_n).alias("many")), "near-mixed")
     own = F.col("label") == F.col("big")
     h = F.xxhash64("id", "s")
     rows = named.join(mixed, "band").withColumn("i", F.when(own, F.col("few") + F.pmod(h, F.col("many"))).otherwise(F.pmod(h, F.col("few"))).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(own, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))))
-    rows = rows.select("band", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "s", "n", "label", "slot").join(regs, "s")
-    return rows.select("band", "x", "y", "i", "id", "s", "n", "label", "regs", "slot").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "id", "s")
+    rows = rows.select("band", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "s", "n", "label", "slot").join(data, "s")
+    return rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "id", "s"), mixed
 
 
 def near_groups(docs: DataFrame, k: int, similarity: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -297,33 +303,27 @@ def near_groups(docs: DataFrame, k: int, similarity: int = 80, doc_id: str = "do
     sets = small_or_joined(rows, ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(partial(_full_sets, k=k), "mark binary, set binary")
     full = written(sets.select(F.xxhash64("mark", (F.octet_length("set") / 8).cast("long")).alias("s"), "set").dropDuplicates(["s"]), "near-full")
 
-    def verified(p: DataFrame) -> DataFrame:
-        a, b = (full.select(F.col("s").alias("s" + c), F.col("set").alias("set_" + c)) for c in "ab")
-        both = spread_join(spread_join(p, b, "sb", "sa"), a, "sa", "sb")
-        return written(both.select("a", "b", "na", "nb", "set_a", "set_b").mapInArrow(partial(_verify, similarity=similarity), "a long, b long"), "near-links")
-
-    made = [verified(pairs)]
+    a, b = (full.select(F.col("s").alias("s" + c), F.col("set").alias("set_" + c)) for c in "ab")
+    ends = spread_join(pairs.join(b, "sb"), a, "sa", "sb").select("a", "b", "na", "nb", "set_a", "set_b")
+    links = written(ends.mapInArrow(partial(_verify, similarity=similarity), "a long, b long"), "near-links")
     twice = sketches.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("doc_id")
     again = written(sketches.select("doc_id", "s").distinct().join(twice, "doc_id").join(reps.select("s", "id"), "s").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b"), "near-again")
-    made.append(again)
-    edges, tested, old = made[0].unionByName(again), pairs.select("sa", "sb"), []
-    for most in (4, 64, 1 << 40):
-        labels = components(edges)
-        named = written(members.join(labels, "id", "left").select("slot", "band", "id", "s", "n", F.coalesce("label", "id").alias("label")), "near-named")
-        found = _mixed_blocks(named, regs).mapInArrow(partial(_across, least=least, ratio=ratio, most=most), PAIR + ", cut boolean")
-        found = written(found.groupBy(*_PAIR).agg(F.max("cut").alias("cut")), "near-found")
-        fresh = written(found.join(tested, ["sa", "sb"], "left_anti").drop("cut"), "near-fresh")
-        old += [named, found, fresh]
-        if fresh.limit(1).count():
-            made.append(verified(fresh))
-            edges, tested = edges.unionByName(made[-1]), tested.unionByName(fresh.select("sa", "sb"))
+    labels = components(links.unionByName(again))
+
+    named = written(members.join(labels, "id", "left").select("slot", "band", "id", "s", "n", F.coalesce("label", "id").alias("label")), "near-named")
+    search = partial(_across, least=least, ratio=ratio, similarity=similarity)
+    rows, mixed = _mixed_blocks(named, regs)
+    asking = written(rows.mapInArrow(search, "band long, s long").distinct(), "near-asking")
+    more = late = None
+    if asking.limit(1).count():
+        rows, late = _mixed_blocks(named.join(asking, ["band", "s"]), regs.join(full, "s"))
+        more = written(rows.mapInArrow(search, "a long, b long"), "near-more-links")
+        if more.limit(1).count():
             forget(labels)
-            labels = None
-        if not found.where("cut").limit(1).count():
-            break
-    labels = components(edges) if labels is None else labels
+            labels = components(links.unionByName(again).unionByName(more))
+    old = [x for x in (named, mixed, asking, more, late) if x is not None]
     named = written(reps.join(labels, "id", "left").select("s", F.coalesce("label", "id").alias("label")), "near-components")
-    forget(labels, shared, members, star, pairs, ids, full, reps, *made, *old)
+    forget(labels, shared, members, star, pairs, ids, full, reps, links, again, *old)
     some = sketches.select("doc_id", "n", "s").join(named, "s", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("label", "doc_id"))
     return some.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -169,7 +169,7 @@ def test_large_mixed_buckets(spark, monkeypatch):
 def test_blocks_copy_the_largest_component_once(spark):
     named = spark.createDataFrame([(0, 7, i, i, 50, 0 if i < 5000 else i) for i in range(5003)], "slot int, band long, id long, s long, n long, label long")
     regs = named.select("s", F.lit(b"x").alias("regs"))
-    rows = near_dup._mixed_blocks(named, regs)
+    rows, _ = near_dup._mixed_blocks(named, regs)
     assert rows.where("label = 0").count() == 5000 and rows.count() <= 5000 + 3 * (1 + 10)
 
 
