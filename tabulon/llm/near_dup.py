@@ -284,7 +284,9 @@ def near_groups(docs: DataFrame, k: int, similarity: int = 80, doc_id: str = "do
     least, ratio = similarity / 100 - MARGIN, similarity / 100
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketches = written(rows.mapInArrow(partial(_sketch, k=k), "doc_id long, n long, mark binary, regs binary").select("doc_id", "n", F.xxhash64("mark", "n").alias("s"), "regs"), "near-sketches")
+    sizes = written(sketches.select("doc_id", "n", "s"), "near-sizes")
     reps = written(sketches.where("n > 0 and doc_id is not null").groupBy("s", "n", "regs").agg(F.min("doc_id").alias("id")), "near-sets")
+    forget(sketches)
 
     bands = reps.select("id", "s", "n", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {ROWS} + 1, {ROWS})))")).alias("slot", "band"))
     shared = written(bands.groupBy("band").agg(F.min("id").alias("pivot"), F.min_by("s", "id").alias("pivot_s"), F.count("*").alias("many")).where("many > 1").drop("many"), "near-buckets")
@@ -297,6 +299,7 @@ def near_groups(docs: DataFrame, k: int, similarity: int = 80, doc_id: str = "do
     star = written(members.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b"), F.col("pivot_s").alias("sa"), F.col("s").alias("sb")).distinct(), "near-stars")
     ends = spread_join(star.join(end("b"), "sb"), end("a"), "sa", "sb").where(f"100 * least(na, nb) >= {similarity} * greatest(na, nb)")
     pairs = written(ends.select(*_PAIR, "regs_a", "regs_b").mapInArrow(partial(_likely, least=least), PAIR), "near-pairs")
+    forget(shared, star)
 
     # Full sets of every set that a bucket shares and that may yet be compared.
     ids = written(members.select(F.col("id").alias("doc_id")).distinct(), "near-ids")
@@ -306,8 +309,9 @@ def near_groups(docs: DataFrame, k: int, similarity: int = 80, doc_id: str = "do
     a, b = (full.select(F.col("s").alias("s" + c), F.col("set").alias("set_" + c)) for c in "ab")
     ends = spread_join(pairs.join(b, "sb"), a, "sa", "sb").select("a", "b", "na", "nb", "set_a", "set_b")
     links = written(ends.mapInArrow(partial(_verify, similarity=similarity), "a long, b long"), "near-links")
-    twice = sketches.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("doc_id")
-    again = written(sketches.select("doc_id", "s").distinct().join(twice, "doc_id").join(reps.select("s", "id"), "s").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b"), "near-again")
+    forget(ids, pairs)
+    twice = sizes.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("doc_id")
+    again = written(sizes.select("doc_id", "s").distinct().join(twice, "doc_id").join(reps.select("s", "id"), "s").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b"), "near-again")
     labels = components(links.unionByName(again))
 
     named = written(members.join(labels, "id", "left").select("slot", "band", "id", "s", "n", F.coalesce("label", "id").alias("label")), "near-named")
@@ -323,8 +327,8 @@ def near_groups(docs: DataFrame, k: int, similarity: int = 80, doc_id: str = "do
             labels = components(links.unionByName(again).unionByName(more))
     old = [x for x in (named, mixed, asking, more, late) if x is not None]
     named = written(reps.join(labels, "id", "left").select("s", F.coalesce("label", "id").alias("label")), "near-components")
-    forget(labels, shared, members, star, pairs, ids, full, reps, links, again, *old)
-    some = sketches.select("doc_id", "n", "s").join(named, "s", "left")
+    forget(labels, members, full, reps, links, again, *old)
+    some = sizes.join(named, "s", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("label", "doc_id"))
     return some.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
