@@ -132,11 +132,12 @@ def configuration_program(lengths: np.ndarray, counts: np.ndarray, size: int, pr
     return plan
 
 
-def packing_plan(histogram: dict[int, int], size: int) -> tuple[np.ndarray, int, float]:
+def packing_plan(histogram: dict[int, int], size: int, gap: float = 2e-5) -> tuple[np.ndarray, int, float]:
     """Runs (length, first rank, count, first sequence, times a sequence, offset) for all pieces by length and rank, the sequences used, and the program's lower bound.
 
     The program is rounded with the shares of a sequence as prices; if that takes more sequences than the dual bound asks
-    for, again with learned prices at rising rates, until one meets the bound. The plan with the fewest sequences counts."""
+    for (by more than the share `gap`), again with learned prices at rising rates, until one meets the bound. The plan with
+    the fewest sequences counts."""
     lengths = np.array(sorted(histogram, reverse=True), np.int64)
     counts = np.array([histogram[int(n)] for n in lengths], np.int64)
     short = lengths < size  # whole sequences are configurations of their own
@@ -145,7 +146,7 @@ def packing_plan(histogram: dict[int, int], size: int) -> tuple[np.ndarray, int,
     bound = float((n * c).sum()) / size
     share, learned = n / size, None
     for rate, longest in ((None, False), (None, True), (0.0, False), (0.0, True), (0.05, False), (0.5, False), (0.5, True), (2.0, False)) if len(n) else ():
-        if best is not None and sum(t for t, _ in best) <= np.ceil(bound - 1e-6):
+        if best is not None and sum(t for t, _ in best) <= np.ceil(bound * (1 + gap) - 1e-6):
             break
         if rate is not None and learned is None:
             learned, dual = dual_prices(n, c, size)
