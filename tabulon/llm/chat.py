@@ -7,7 +7,7 @@ turns as context, and the loss span over the reply alone. Turns after the last r
 make a last example with an empty span, so that no turn is lost.
 
 The turns of a conversation meet in one row, which the digest of a conversation asks for anyway; nothing else is
-grouped. Cases: null roles and texts are empty; turns that tie are ordered by role, then text; repeated rows are turns
+grouped. Cases: null roles and texts are empty; very long texts are rendered whole; turns that tie are ordered by role, then text; repeated rows are turns
 of their own; rows with a null conversation id are one conversation; an empty table gives no rows; columns other than
 the four named are not read.
 """

@@ -10,7 +10,7 @@ the others are revisits of it; smaller ones are all responses. Digests are count
 digests that occur twice or more are joined back, as narrow rows, so a payload that a third of all pages share costs no
 more than the others.
 
-Cases: null html is an empty payload; a null url gives no target header; a null page id sorts first, gets no id header,
+Cases: null html is an empty payload; very long payloads are written whole, as a file of their own if need be; a null url gives no target header; a null page id sorts first, gets no id header,
 and revisits a record with an id where there is one; repeated rows that share the largest page id are all responses; an
 empty table gives no file; columns other than the three named are not read; CR and LF in urls are percent-encoded.
 """
