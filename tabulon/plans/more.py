@@ -366,9 +366,15 @@ def euler_dist(spark, d):
 _C = product_sql(m_sql(*OTHER), m_sql("e1", "e2", "e3"))
 
 
-@query("SELECT pind, " + ", ".join(f"round({x}, 5) + 0.0 AS r{i}" for i, x in enumerate(_C)) + " FROM pose")
+_POLE = ["cos(t)", "sin(t)", "0", "-sin(t)", "cos(t)", "0", "0", "0", "1"]
+
+
+@query(
+    "SELECT pind, " + ", ".join(f"round(CASE WHEN m8 >= 0.9999999 THEN {x} ELSE m{i} END, 5) + 0.0 AS r{i}" for i, x in enumerate(_POLE))
+    + " FROM (SELECT *, atan2(m1, m4) AS t FROM (SELECT pind, " + ", ".join(f"{x} AS m{i}" for i, x in enumerate(_C)) + " FROM pose))"
+)
 def euler_compose(spark, d):
-    """The matrix of the composed angles: the product of the matrices."""
+    """The matrix of the composed angles: the product of the matrices; next to the pole, where angles keep no tilt, a turn about it."""
     a, b, c = G.composed(own(), other())
     p = poses(particles(spark, d)).select("pind", a.alias("e1"), b.alias("e2"), c.alias("e3"))
     return p.select("pind", *((F.round(x, 5) + 0.0).alias(f"r{i}") for i, x in enumerate(G.matrix(own()))))
